@@ -139,17 +139,21 @@ class Words:
     @property
     def hash(self) -> np.ndarray:
         if self._hash is None:
-            n = len(self.body)
-            total = np.empty(n + 1, np.uint64)
-            total[0] = 0
-            codes = (FOLDED if self._fold else EXACT)[self.body]
-            codes *= _power("up", BASE, n)
-            np.cumsum(codes, out=total[1:])
-            h = total[self.end] - total[self.start]
-            h *= _power("down", _BASE_INV, n + 1)[self.start]
-            self._hash = mix(h)
+            self._hash = self.spans(self.start, self.end)
         return self._hash
 
+    def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of byte ranges; equal bytes (A-Z folded unless ``fold`` is off) have equal hashes."""
+        n = len(self.body)
+        total = np.empty(n + 1, np.uint64)
+        total[0] = 0
+        codes = (FOLDED if self._fold else EXACT)[self.body]
+        codes *= _power("up", BASE, n)
+        np.cumsum(codes, out=total[1:])
+        h = total[end] - total[start]
+        h *= _power("down", _BASE_INV, n + 1)[start]
+        return mix(h)
+
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of each run of k words and each text's first one (runs never cross texts)."""
         h = self.hash
