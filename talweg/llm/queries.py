@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talweg.llm import mixing, packing, topk, warc
+from talweg.llm import jaccard, mixing, packing, topk, warc
 from talweg.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,11 @@ def op2_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path=tokens.path("byte_bpe_50k.json"), ranks_path=tokens.path("byte_bpe_50k.tiktoken"))
 
 
+def op4_combination_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.similarity_components(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
 def op7_norm_bucketed_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -85,7 +90,7 @@ FROM l JOIN t ON l.source IS NOT DISTINCT FROM t.source
 
 
 def queries() -> dict[str, Query]:
-    found = [op2_pattern_packing, op7_norm_bucketed_top_k, op8_curriculum_mixing, op10_warc_zstd]
+    found = [op2_pattern_packing, op4_combination_prefix_join, op7_norm_bucketed_top_k, op8_curriculum_mixing, op10_warc_zstd]
     return {f.__name__: f for f in found}
 
 
