@@ -144,8 +144,9 @@ def top_k(
 
     def against(asked: DataFrame, held: DataFrame, low: int, high: int) -> DataFrame:
         """Each query block against each block of the places from ``low`` to before ``high``."""
-        left = asked.select("id", "q", "least", "block", F.explode(F.sequence(F.lit(low), F.lit(high - 1))).alias("place"))
-        right = held.filter(F.col("place").between(low, high - 1)).select("id", "q", "place", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
+        own = [F.col(c).alias(c) for c in ("id", "q", "least", "block")]  # new names for the columns that both sides derive from
+        left = asked.select(*own, F.explode(F.sequence(F.lit(low), F.lit(high - 1))).alias("place"))
+        right = held.filter(F.col("place").between(low, high - 1)).select(*[F.col(c).alias(c) for c in ("id", "q", "place")], F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
         return left.groupBy("place", "block").cogroup(right.groupBy("place", "block")).applyInPandas(search, "query_id long, vec_id long, score long")
 
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
