@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talweg.llm import jaccard, mixing, packing, topk, warc
+from talweg.llm import jaccard, licenses, mixing, packing, resampling, topk, warc
 from talweg.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = resampling.resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return kept.select(F.col("id").alias("doc_id"), "log_weight", F.col("noisy").alias("sampling_key"))
+
+
 def op2_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as tokens
 
@@ -24,6 +29,22 @@ def op4_combination_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
 
 
+def op6_diagonal_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["is_phrase"])
+    joined: Callable[[Column], Column] = lambda spans: F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(F.transform(base, lambda s: s["first_word"])).cast("long").alias("first_word"),
+        F.array_max(F.transform(base, lambda s: s["first_word"])).cast("long").alias("last_word"),
+        joined(base).alias("base_labels"),
+        joined(F.col("spans")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("spans", lambda s: s["coverage"])), F.lit(0.0)).alias("score"),
+    )
+
+
 def op7_norm_bucketed_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -90,7 +111,7 @@ FROM l JOIN t ON l.source IS NOT DISTINCT FROM t.source
 
 
 def queries() -> dict[str, Query]:
-    found = [op2_pattern_packing, op4_combination_prefix_join, op7_norm_bucketed_top_k, op8_curriculum_mixing, op10_warc_zstd]
+    found = [op1_importance_resampling, op2_pattern_packing, op4_combination_prefix_join, op6_diagonal_license_scan, op7_norm_bucketed_top_k, op8_curriculum_mixing, op10_warc_zstd]
     return {f.__name__: f for f in found}
 
 
