@@ -221,7 +221,8 @@ def write_pages(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_c
     # ids first: a payload with many copies then never meets in one task
     again = small.join(largest, ["digest", "size"]).filter(F.col("page") < F.col("refers_to")).select("page", "refers_to").distinct()
     rows = base.join(again, "page", "left")
-    taken = base.orderBy(F.xxhash64("page", "digest")).limit(samples).select(F.substring("html", 1, sample_bytes).alias("html")).collect()
+    every = max(1, pages.count() // samples)  # about so many rows, chosen by hash; never more than twice that
+    taken = base.filter(F.pmod(F.xxhash64("page", "digest"), F.lit(every)) == 0).select(F.substring("html", 1, sample_bytes).alias("html")).limit(2 * samples).collect()
     dictionary = train_dictionary([page_record(i, "http://x/", (p := r["html"].encode()), hashlib.sha1(p).hexdigest()) for i, r in enumerate(taken)]) if taken else b""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
