@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talweg.llm import jaccard, licenses, mixing, packing, resampling, topk, warc
+from talweg.llm import jaccard, lattice, licenses, mixing, packing, resampling, topk, warc
 from talweg.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +54,12 @@ def op8_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select(F.col("doc.doc_id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op9_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as tokens
+
+    return lattice.score(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary_path=tokens.path("piece_bpe_32k.model")).withColumnRenamed("id", "doc_id")
+
+
 def op10_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = warc.round_trip(table(spark, sf_dir, "pages"))
     return back.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
@@ -111,7 +117,7 @@ FROM l JOIN t ON l.source IS NOT DISTINCT FROM t.source
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_importance_resampling, op2_pattern_packing, op4_combination_prefix_join, op6_diagonal_license_scan, op7_norm_bucketed_top_k, op8_curriculum_mixing, op10_warc_zstd]
+    found = [op1_importance_resampling, op2_pattern_packing, op4_combination_prefix_join, op6_diagonal_license_scan, op7_norm_bucketed_top_k, op8_curriculum_mixing, op9_lattice_likelihood, op10_warc_zstd]
     return {f.__name__: f for f in found}
 
 
