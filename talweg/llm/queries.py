@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talweg.llm import jaccard, lattice, licenses, mixing, packing, resampling, topk, warc
+from talweg.llm import imatch, jaccard, lattice, licenses, mixing, packing, resampling, topk, warc
 from talweg.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op4_combination_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
 
 
+def op5_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
 def op6_diagonal_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("spans", lambda s: s["is_phrase"])
@@ -117,7 +121,7 @@ FROM l JOIN t ON l.source IS NOT DISTINCT FROM t.source
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_importance_resampling, op2_pattern_packing, op4_combination_prefix_join, op6_diagonal_license_scan, op7_norm_bucketed_top_k, op8_curriculum_mixing, op9_lattice_likelihood, op10_warc_zstd]
+    found = [op1_importance_resampling, op2_pattern_packing, op4_combination_prefix_join, op5_imatch_fingerprints, op6_diagonal_license_scan, op7_norm_bucketed_top_k, op8_curriculum_mixing, op9_lattice_likelihood, op10_warc_zstd]
     return {f.__name__: f for f in found}
 
 
