@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talweg.llm import imatch, jaccard, lattice, licenses, mixing, packing, resampling, topk, warc
+from talweg.llm import imatch, jaccard, lattice, licenses, mixing, packing, resampling, suffixes, topk, warc
 from talweg.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,11 @@ def op2_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path=tokens.path("byte_bpe_50k.json"), ranks_path=tokens.path("byte_bpe_50k.tiktoken"))
 
 
+def op3_sparse_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.repeated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(F.col("id").alias("doc_id"), F.col("start").alias("first_word"), F.col("end").alias("end_word"), (F.col("end") - F.col("start")).alias("n_words"))
+
+
 def op4_combination_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard.similarity_components(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
@@ -121,7 +126,7 @@ FROM l JOIN t ON l.source IS NOT DISTINCT FROM t.source
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_importance_resampling, op2_pattern_packing, op4_combination_prefix_join, op5_imatch_fingerprints, op6_diagonal_license_scan, op7_norm_bucketed_top_k, op8_curriculum_mixing, op9_lattice_likelihood, op10_warc_zstd]
+    found = [op1_importance_resampling, op2_pattern_packing, op3_sparse_suffix_dedup, op4_combination_prefix_join, op5_imatch_fingerprints, op6_diagonal_license_scan, op7_norm_bucketed_top_k, op8_curriculum_mixing, op9_lattice_likelihood, op10_warc_zstd]
     return {f.__name__: f for f in found}
 
 
