@@ -51,8 +51,7 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, least: int = 3)
     """Rank correlation of each group; null below ``least`` points or for a constant column."""
     known = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(F.col(x).cast("double")) & ~F.isnan(F.col(y).cast("double")))
     ranks = average_ranks(average_ranks(known, keys, x, "__rx"), keys, y, "__ry")
-    spread = (F.stddev_pop("__rx") > 0) & (F.stddev_pop("__ry") > 0)
-    return ranks.groupBy(*keys).agg(F.count("*").alias("n"), F.when((F.count("*") >= least) & spread, F.corr("__rx", "__ry")).alias("rho"))
+    return ranks.groupBy(*keys).agg(F.count("*").alias("n"), F.when(F.count("*") >= least, F.try_divide(F.covar_pop("__rx", "__ry"), F.stddev_pop("__rx") * F.stddev_pop("__ry"))).alias("rho"))
 
 
 def overlap_with_next(df: DataFrame, keys: Sequence[str], order: str, low: str, high: str, above: float) -> DataFrame:
