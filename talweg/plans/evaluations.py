@@ -17,7 +17,7 @@ def _values(t: Tables) -> DataFrame:
 
 
 @query(f"""
-WITH v AS ({_VALUES}), p AS (SELECT round, event % 500 AS event, max(v) - min(v) AS span, count(*) AS n, bool_or(imputed) AS some FROM v GROUP BY 1, 2), m AS (SELECT event, quantile_cont(span, 0.5) AS median FROM p WHERE n >= 2 AND some GROUP BY 1)
+WITH v AS ({_VALUES}), p AS (SELECT round, event % 500 AS event, max(v) - min(v) AS span, count(*) AS n, bool_or(imputed) AS hit FROM v GROUP BY 1, 2), m AS (SELECT event, quantile_cont(span, 0.5) AS median FROM p WHERE n >= 2 AND hit GROUP BY 1)
 SELECT count(*) AS events, round(max(median), 9) AS largest, count(*) = 0 OR max(median) < 4 AS passed FROM m
 """)
 def ratio_plausible(t: Tables) -> DataFrame:
