@@ -26,7 +26,7 @@ def test_water_fill():
 
 @pytest.mark.parametrize("schedule", mixing.DEFAULT_SCHEDULES + (((0.0, 0.0), (0.5, 1.0), (1.0, 0.0)), ((0.0, 1.0), (0.3, 0.0), (0.6, 0.0), (1.0, 2.0))))
 def test_positions_invert_the_integral(spark, schedule):
-    pieces = F.lit([tuple(p) for p in mixing.segments(schedule)]) if False else F.array(*[F.struct(*[F.lit(float(x)).alias(n) for n, x in zip(("t0", "t1", "w0", "w1", "c0", "c1"), p, strict=True)]) for p in mixing.segments(schedule)])
+    pieces = F.array(*[F.struct(*[F.lit(float(x)).alias(n) for n, x in zip(("t0", "t1", "w0", "w1", "c0", "c1"), p, strict=True)]) for p in mixing.segments(schedule)])
     shares = [i / 40 for i in range(40)]
     got = [r[0] for r in spark.createDataFrame([(s,) for s in shares], "s double").select(mixing.invert(pieces, F.col("s"))).collect()]
     t = np.linspace(0, 1, 200_001)
