@@ -95,11 +95,11 @@ def mix_plan(
     """
     row = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
-        F.col(source_col).alias("src"),
+        F.when(F.col(source_col).isNull(), "").otherwise(F.concat(F.lit("="), F.col(source_col).cast("string"))).alias("src"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(seed))).alias("key"),
     )
-    totals = sorted(row.groupBy("src").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect(), key=lambda r: (r["src"] is None, (r["src"] or "").encode()))
+    totals = sorted(row.groupBy("src").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect(), key=lambda r: (not r["src"], r["src"].encode()))
     spark = docs.sparkSession
     sizes = [r["size"] for r in totals]
     by = [float(weights[i % len(weights)]) for i in range(len(totals))]
@@ -108,14 +108,14 @@ def mix_plan(
         [(r["src"], s, t, max(1, -(-r["n"] // docs_per_bucket)), segments(schedules[i % len(schedules)])) for i, (r, s, t) in enumerate(zip(totals, sizes, targets, strict=True))],
         T.StructType([T.StructField("of", T.StringType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("buckets", T.IntegerType()), T.StructField("pieces", _SEGMENT)]),
     )
-    known = row.join(info, F.col("src").eqNullSafe(F.col("of")), "left").drop("of")
+    known = row.join(info, F.col("src") == F.col("of"), "left").drop("of")
     known = known.withColumn("bucket", F.expr("cast(floor(conv(substring(key, 1, 8), 16, 10) * buckets / 4294967296.0D) as int)"))
     sums = known.groupBy("src", "bucket").agg(F.sum("size").alias("held"))
     before = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col("src").alias("b_src"), F.col("bucket").alias("b_bucket"), F.coalesce(F.sum("held").over(before), F.lit(0)).alias("ahead"))
+    sums = sums.select("src", "bucket", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("ahead"))
     inner = Window.partitionBy("src", "bucket").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
     lined = known.withColumn("within", F.coalesce(F.sum("size").over(inner), F.lit(0)))
-    lined = lined.join(sums, F.col("src").eqNullSafe(F.col("b_src")) & (F.col("bucket") == F.col("b_bucket")), "left")
+    lined = lined.join(sums, ["src", "bucket"], "left")  # dealt by the window's keys, so texts don't move again
     start = F.col("ahead") + F.col("within")
     middle: Callable[[Column], Column] = lambda e: e * F.col("source_size") + start + F.col("size") / 2
     epochs = F.sequence(F.lit(0), F.lit(max(0, int(-(-max_epochs // 1)) - 1)))
