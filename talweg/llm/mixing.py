@@ -108,7 +108,7 @@ def mix_plan(
         [(r["src"], s, t, max(1, -(-r["n"] // docs_per_bucket)), segments(schedules[i % len(schedules)])) for i, (r, s, t) in enumerate(zip(totals, sizes, targets, strict=True))],
         T.StructType([T.StructField("of", T.StringType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("buckets", T.IntegerType()), T.StructField("pieces", _SEGMENT)]),
     )
-    known = row.join(info, F.col("src") == F.col("of"), "left").drop("of")
+    known = row.join(F.broadcast(info), F.col("src") == F.col("of"), "left").drop("of")  # the driver's own rows, one a source
     known = known.withColumn("bucket", F.expr("cast(floor(conv(substring(key, 1, 8), 16, 10) * buckets / 4294967296.0D) as int)"))
     sums = known.groupBy("src", "bucket").agg(F.sum("size").alias("held"))
     before = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
