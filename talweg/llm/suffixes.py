@@ -8,7 +8,8 @@ sorted by what follows them and then by what precedes them, neighbours of
 different documents are compared word by word, and matches are extended to the
 right and left. As a suffix may share more of its left with one that isn't its
 neighbour, a task's suffixes are also sorted by every ``min_words``-word stretch
-around them. Matches of ``min_words`` or more are joined into passages.
+around them; a stretch that may lie in several tasks is counted across them.
+Matches of ``min_words`` or more are joined into passages.
 
 A suffix carries ``min_words`` words to its right and ``min_words - k`` to its
 left; longer passages hold several suffixes, whose matches overlap.
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -174,42 +176,78 @@ def _common(a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
     return np.minimum(np.where(same.all(1), a.shape[1], np.argmin(same, 1)), most)
 
 
-def stretches(ids: np.ndarray, pos: np.ndarray, right: np.ndarray, left: np.ndarray, n_right: np.ndarray, n_left: np.ndarray, min_words: int) -> list[tuple[np.ndarray, ...]]:
-    """Matches as (id, start, end, earlier) from stretches of ``min_words`` that begin r words before a suffix, for each r."""
-    ahead = np.zeros((right.shape[1] + 1, len(ids)), np.uint64)
+def _hashes(right: np.ndarray, left: np.ndarray, n_right: np.ndarray, n_left: np.ndarray, min_words: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each r the rows with a stretch of ``min_words`` that begins r words before the suffix, and the stretches' hashes."""
+    ahead = np.zeros((right.shape[1] + 1, len(right)), np.uint64)
     for j in range(right.shape[1]):  # one constant for each place of a word: sums tell stretches apart
         ahead[j + 1] = ahead[j] + mix(right[:, j] + np.uint64(j << 32) + np.uint64(1))
-    back = np.zeros(len(ids), np.uint64)
-    bounds = np.array([left.shape[1] + 1, -1], np.int64)
-    least, most = (np.tile(bounds[i], (2, len(ids))) for i in (0, 1))
+    back = np.zeros(len(right), np.uint64)
     for r in range(left.shape[1] + 1):
         if r:
             back = back + mix(left[:, r - 1] + np.uint64((0x8000 + r) << 32))
         whole = np.flatnonzero((n_left >= r) & (n_right >= min_words - r))
-        if not len(whole):
-            continue
-        h = ahead[min_words - r][whole] + back[whole]
-        order = whole[np.argsort(h, kind="stable")]
-        sorted_h = np.sort(h)
-        new = np.append(True, sorted_h[1:] != sorted_h[:-1])
-        starts = np.flatnonzero(new)
-        run = np.cumsum(new) - 1
-        low, high = np.minimum.reduceat(ids[order], starts)[run], np.maximum.reduceat(ids[order], starts)[run]
-        for k, hit in enumerate((order[low != high], order[low < ids[order]])):
-            least[k, hit] = np.minimum(least[k, hit], r)
-            most[k, hit] = r
-    out = []
-    for k in (0, 1):
-        hit = np.flatnonzero(most[k] >= 0)
-        out.append((ids[hit], pos[hit] - most[k, hit], pos[hit] - least[k, hit] + min_words, np.full(len(hit), k == 1)))
-    return out
-
-
-def compare(rows: pa.Table, min_words: int) -> tuple[pa.RecordBatch, np.ndarray]:
-    """Matches of sorted suffixes with their nearest neighbours of other documents; and the places of the first and last document's suffixes."""
+        if len(whole):
+            yield r, whole, ahead[min_words - r][whole] + back[whole]
+
+
+def _least_and_largest(h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The order by hash, the starts of equal hashes in it, and their smallest and largest ids."""
+    order = np.argsort(h, kind="stable")
+    sorted_h = h[order]
+    starts = np.flatnonzero(np.append(True, sorted_h[1:] != sorted_h[:-1]))
+    return order, starts, np.minimum.reduceat(ids[order], starts), np.maximum.reduceat(ids[order], starts)
+
+
+class _Hits:
+    """The least and most r of each row's stretches that other documents (0) or earlier ones (1) have."""
+
+    def __init__(self, ids: np.ndarray, pos: np.ndarray, min_words: int):
+        self.ids, self.pos, self.min_words = ids, pos, min_words
+        self.least, self.most = np.full((2, len(ids)), min_words + 1, np.int64), np.full((2, len(ids)), -1, np.int64)
+
+    def add(self, r: int, rows: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+        for k, hit in enumerate((rows[low != high], rows[low < self.ids[rows]])):
+            self.least[k, hit] = np.minimum(self.least[k, hit], r)
+            self.most[k, hit] = r
+
+    def found(self) -> list[tuple[np.ndarray, ...]]:
+        """Matches as (id, start, end, earlier): a row's stretches all hold its k-gram, so that they overlap."""
+        out = []
+        for k in (0, 1):
+            hit = np.flatnonzero(self.most[k] >= 0)
+            out.append((self.ids[hit], self.pos[hit] - self.most[k, hit], self.pos[hit] - self.least[k, hit] + self.min_words, np.full(len(hit), k == 1)))
+        return out
+
+
+def stretches(ids: np.ndarray, pos: np.ndarray, right: np.ndarray, left: np.ndarray, n_right: np.ndarray, n_left: np.ndarray, min_words: int) -> list[tuple[np.ndarray, ...]]:
+    """Matches as (id, start, end, earlier) from stretches of ``min_words`` that begin r words before a suffix, for each r."""
+    hits = _Hits(ids, pos, min_words)
+    for r, whole, h in _hashes(right, left, n_right, n_left, min_words):
+        order, starts, low, high = _least_and_largest(h, ids[whole])
+        times = np.diff(np.append(starts, len(h)))
+        hits.add(r, whole[order], np.repeat(low, times), np.repeat(high, times))
+    return hits.found()
+
+
+def reach(key: np.ndarray, right: np.ndarray, n_right: np.ndarray) -> np.ndarray:
+    """Words to its right that each sorted suffix shares with the first or last one: a stretch with more of them lies in this task only."""
+    best = np.zeros(len(key), np.int64)
+    for end in (0, len(key) - 1):
+        same = np.flatnonzero(key == key[end])
+        best[same] = np.maximum(best[same], _common(right[same], right[end : end + 1], n_right[same]))
+    return best
+
+
+def _columns(rows: pa.Table) -> tuple[np.ndarray, ...]:
+    """key, id, pos, n_right, n_left, right and left of rows."""
+    one = [rows.column(c).combine_chunks() if rows.column(c).num_chunks != 1 else rows.column(c).chunk(0) for c in ("right", "left")]
+    return *(rows.column(c).to_numpy() for c in ("key", "id", "pos", "n_right", "n_left")), *(_matrix(c, rows.num_rows) for c in one)
+
+
+def compare(rows: pa.Table, min_words: int) -> tuple[pa.RecordBatch, pa.RecordBatch, np.ndarray]:
+    """Of a task's sorted suffixes: their matches; the stretches that other tasks may have too (hash, smallest and largest id); and the places of the suffixes with such stretches."""
+    key, ids, pos, n_right, n_left, right, left = _columns(rows)
     n = rows.num_rows
-    key, ids, pos, n_right, n_left = (rows.column(c).to_numpy() for c in ("key", "id", "pos", "n_right", "n_left"))
-    right, left = (_matrix(rows.column(c).combine_chunks() if rows.column(c).num_chunks > 1 else rows.column(c).chunk(0), n) for c in ("right", "left"))
     new = np.append(True, (ids[1:] != ids[:-1]) | (key[1:] != key[:-1]))
     starts = np.flatnonzero(new)
     run = np.cumsum(new) - 1
@@ -226,42 +264,74 @@ def compare(rows: pa.Table, min_words: int) -> tuple[pa.RecordBatch, np.ndarray]
             some, it, ahead, back = some[long], it[long], ahead[long], back[long]
             found.append((ids[some], pos[some] - back, pos[some] + ahead, ids[it] < ids[some]))
     found += stretches(ids, pos, right, left, n_right, n_left, min_words)
+    near = reach(key, right, n_right)
+    border = np.flatnonzero(near + n_left >= min_words)
+    partial = [(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))]
+    for r, whole, h in _hashes(right[border], left[border], n_right[border], n_left[border], min_words):
+        some = near[border[whole]] >= min_words - r
+        if some.any():
+            order, starts, low, high = _least_and_largest(h[some], ids[border[whole[some]]])
+            partial.append((h[some][order[starts]], low, high))
+    hashes, low, high = (np.concatenate(c) for c in zip(*partial, strict=True))
+    ends = pa.RecordBatch.from_arrays([pa.array(signed(hashes)), pa.array(low), pa.array(high)], names=["hash", "low", "high"])
+    return _matches(found), ends, border
+
+
+def _matches(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     columns = [np.concatenate(c) for c in zip(*found, strict=True)]
-    border = np.concatenate((np.arange(ends[0]), np.arange(starts[-1], n)))
-    batch = pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(columns, (np.int64, np.int32, np.int32, bool), strict=True)], names=["id", "start", "end", "earlier"])
-    return batch, np.unique(border)
+    return pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(columns, (np.int64, np.int32, np.int32, bool), strict=True)], names=["id", "start", "end", "earlier"])
+
+
+def settled(rows: pa.Table, told: pa.Table, min_words: int) -> pa.Table:
+    """Matches that one task's border suffixes have in other tasks only, by stretches (hash, smallest and largest id over all tasks, smallest here as own)."""
+    if not rows.num_rows or not told.num_rows:
+        return pa.table([pa.array([], t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.bool_())], ["id", "start", "end", "earlier"])
+    _, ids, pos, n_right, n_left, right, left = _columns(rows)
+    order = np.argsort(told.column("hash").to_numpy())
+    known, low, high, own = (told.column(c).to_numpy()[order] for c in ("hash", "low", "high", "own"))
+    hits = _Hits(ids, pos, min_words)
+    for r, whole, h in _hashes(right, left, n_right, n_left, min_words):
+        at = np.minimum(np.searchsorted(known, signed(h)), len(known) - 1)
+        hit = (known[at] == signed(h)) & (ids[whole] == own[at])  # other ids have an earlier one here
+        hits.add(r, whole[hit], low[at[hit]], high[at[hit]])
+    return pa.Table.from_batches([_matches(hits.found())])
 
 
 def matches(suffixes: DataFrame, min_words: int) -> DataFrame:
-    """(id, start, end, earlier): word ranges equal to a range of another document; ``earlier`` where that has a smaller id."""
+    """(id, start, end, earlier): word ranges equal to a range of another document; ``earlier`` where that has a smaller id.
+
+    As suffixes are sorted by what follows, a stretch that several tasks have
+    begins, from the suffix on, as the first or last suffix of each of them. Each
+    task lists such stretches with its smallest and largest id of each, and learns
+    those over all tasks.
+    """
     order = ["key", "right", "left", "id", "pos"]
     array = suffixes.repartitionByRange(partitions(suffixes.sparkSession), *order).sortWithinPartitions(*order)
-    names = [f.split()[0] for f in CONTEXT.split(", ")]
-    schema = T.StructType([T.StructField("match", T.StructType([T.StructField(n, t) for n, t in (("id", T.LongType()), ("start", T.IntegerType()), ("end", T.IntegerType()), ("earlier", T.BooleanType()))])), *suffixes.schema.fields])
+    match, end = (T._parse_datatype_string(x) for x in (MATCH, "hash long, low long, high long"))
+    schema = T.StructType([T.StructField("task", T.IntegerType()), T.StructField("match", match), T.StructField("end", end), T.StructField("suffix", suffixes.schema)])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Matches within a task; the suffixes at its ends are passed on, to meet those of its neighbours."""
         held = list(batches)
         if not sum(b.num_rows for b in held):
             return
         rows = pa.Table.from_batches(held)
-        found, border = compare(rows, min_words)
-        empty = [pa.nulls(found.num_rows, rows.schema.field(n).type) for n in names]
-        yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(found.columns, found.schema.names), *empty], names=["match", *names])
-        ends = rows.take(pa.array(border)).combine_chunks()
-        blank = pa.StructArray.from_arrays([pa.array([], t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.bool_())], ["id", "start", "end", "earlier"]).take(pa.nulls(len(border), pa.int64()))
-        yield pa.RecordBatch.from_arrays([blank, *(ends.column(n).combine_chunks() if ends.column(n).num_chunks != 1 else ends.column(n).chunk(0) for n in names)], names=["match", *names])
-
-    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if sum(b.num_rows for b in held):
-            yield compare(pa.Table.from_batches(held), min_words)[0]
-
-    both = written(array.mapInArrow(each, schema))
-    inner = both.filter("match is not null").select("match.*")
-    # two documents' suffixes a task at most
-    borders = both.filter("match is null").select(*names).repartition(1).sortWithinPartitions(*order)
-    return inner.union(borders.mapInArrow(across, MATCH))
+        found, ends, border = compare(rows, min_words)
+        kinds = {"match": [found], "end": [ends], "suffix": rows.take(pa.array(border)).to_batches()}
+        types = {"match": pa.struct(found.schema), "end": pa.struct(ends.schema), "suffix": pa.struct(rows.schema)}
+        task = TaskContext.get().partitionId()
+        for kind, parts in kinds.items():
+            for b in parts:
+                columns = [pa.StructArray.from_arrays(b.columns, fields=list(b.schema)) if kind == n else pa.nulls(b.num_rows, t) for n, t in types.items()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, task, np.int32)), *columns], names=["task", *types])
+
+    every = written(array.mapInArrow(each, schema))
+    inner = every.filter("match is not null").select("match.*")
+    ends = every.filter("end is not null").groupBy("end.hash").agg(F.min("end.low").alias("low"), F.max("end.high").alias("high"), F.collect_list(F.struct("task", F.col("end.low").alias("own"), F.col("end.high").alias("last"))).alias("tasks"))
+    # a task that has the smallest id and another one knows all of its matches
+    news = ends.filter("size(tasks) > 1 and low < high").select(F.explode("tasks").alias("of"), "hash", "low", "high").filter("of.own > low or of.own = of.last")
+    told = news.select("of.task", "hash", "low", "high", "of.own")
+    borders = every.filter("suffix is not null").select("task", "suffix.*")
+    return inner.union(borders.groupBy("task").cogroup(told.groupBy("task")).applyInArrow(lambda rows, told: settled(rows, told, min_words), MATCH))
 
 
 def passages(matched: DataFrame) -> DataFrame:

@@ -117,3 +117,27 @@ def test_minimisers_cover_every_window():
         for i in range(a, b - 31):
             want.add(i + int(np.argmin(g[i : i + 32])))
     assert got == want
+
+
+def test_copies_that_go_on_differently_match_brute_force(spark):
+    """A frequent passage's suffixes are dealt over all tasks by the private words that follow."""
+    r = Random(4)
+    word = lambda: f"w{r.randrange(10**7)}"
+    line = [word() for _ in range(50)]
+    rows = [(i, " ".join([word() for _ in range(40)] + line + [word() for _ in range(60)])) for i in range(400)]
+    for least in (False, True):
+        assert found(spark, rows, only_later=least) == brute(rows, only_later=least)
+
+
+def test_private_words_beside_a_frequent_line_match_brute_force(spark):
+    """Pairs share 50 words of which the line is a part, and go on differently."""
+    for seed in range(3):
+        r = Random(seed)
+        word = lambda: f"w{r.randrange(10**7)}"  # noqa: B023, E731
+        line = [word() for _ in range(30)]
+        rows = []
+        for i in range(0, 300, 2):
+            own = [word() for _ in range(20)]
+            rows += [(j, " ".join([word() for _ in range(30)] + own + line + [word() for _ in range(60)])) for j in (i, i + 1)]
+        assert found(spark, rows) == brute(rows)
+        assert found(spark, rows, only_later=True) == brute(rows, only_later=True)
