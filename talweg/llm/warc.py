@@ -218,9 +218,9 @@ def write_pages(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_c
     base = pages.select(F.col(id_col).alias("page"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html")).withColumn("digest", F.sha1(F.encode("html", "UTF-8"))).withColumn("size", F.octet_length("html").cast("long"))
     small = base.filter(F.col("size") >= min_revisit).select("page", "digest", "size")
     largest = small.groupBy("digest", "size").agg(F.max("page").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    # ids first: a payload with many copies then never meets in one task
-    again = small.join(largest, ["digest", "size"]).filter(F.col("page") < F.col("refers_to")).select("page", "refers_to").distinct()
-    rows = base.join(again, "page", "left")
+    # the id among the keys: a payload with many copies then never meets in one task
+    again = small.join(largest, ["digest", "size"]).filter(F.col("page") < F.col("refers_to")).distinct()
+    rows = base.join(again, ["page", "digest", "size"], "left")
     every = max(1, pages.count() // samples)  # about so many rows, chosen by hash; never more than twice that
     taken = base.filter(F.pmod(F.xxhash64("page", "digest"), F.lit(every)) == 0).select(F.substring("html", 1, sample_bytes).alias("html")).limit(2 * samples).collect()
     dictionary = train_dictionary([page_record(i, "http://x/", (p := r["html"].encode()), hashlib.sha1(p).hexdigest()) for i, r in enumerate(taken)]) if taken else b""

@@ -47,6 +47,15 @@ def test_edge_cases(spark):
     assert trip(spark, [])[1] == []
 
 
+def test_repeated_ids_with_other_payloads(spark):
+    """A copy under a larger id of one payload says nothing of the same id's other payload."""
+    one, two, three = "a" * 1500, "b" * 1500, "c" * 1500
+    rows = [(1, "u", one), (1, "u", two), (5, "u", one), (2, "u", one), (2, "u", three), (6, "u", three), (2, "u", three)]
+    got, told = trip(spark, rows)
+    assert told == brute(rows)
+    assert {r["payload"].decode() for r in got if r["record_type"] == "response"} == {one, two, three}
+
+
 def archive():
     dictionary = warc.train_dictionary([b"few"])
     squeeze = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(dictionary))
