@@ -67,6 +67,13 @@ def mention_groups(t: Tables) -> DataFrame:
     return identity.key_groups(some.select("o_orderkey", keys.alias("keys")), "o_orderkey", "keys")
 
 
+@query()
+def mention_groups_whole(t: Tables) -> DataFrame:
+    """``mention_groups`` over all orders, whose closure is too large for its SQL."""
+    keys = F.array(F.concat(F.lit("c"), F.col("o_custkey") % 400), F.concat(F.lit("d"), F.floor(F.col("o_totalprice") * 100) % 100000))
+    return identity.key_groups(t.orders.select("o_orderkey", keys.alias("keys")), "o_orderkey", "keys")
+
+
 @query("""
 WITH n AS (SELECT l_suppkey, l_shipmode, count(*) AS n, max(l_shipmode <> 'R') AS f FROM (SELECT l_suppkey, l_returnflag AS l_shipmode FROM lineitem) GROUP BY 1, 2)
 SELECT l_suppkey, max_by(l_shipmode, struct_pack(f := f, n := n, l := length(l_shipmode), t := l_shipmode)) AS form FROM n GROUP BY 1
