@@ -64,11 +64,45 @@ def _bridges(nodes: dict[int, list[int]]) -> list[tuple[int, int]]:
     return out
 
 
-def bridges(edges: DataFrame) -> DataFrame:
-    """(a, b): edges that are the only link between their ends; one task holds one component."""
+def _forest(ends: list[tuple[int, int]]) -> list[bool]:
+    """Whether each edge is one of a spanning forest."""
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        root.setdefault(x, x)
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    taken = []
+    for a, b in ends:
+        x, y = top(a), top(b)
+        taken.append(x != y)
+        root[x] = y
+    return taken
+
+
+def _certificate(ends: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """A spanning forest and one of the other edges: two edges of any cut that has as many, so that bridges are kept."""
+    first = _forest(ends)
+    rest = [e for e, t in zip(ends, first, strict=True) if not t]
+    return [e for e, t in zip(ends, first, strict=True) if t] + [e for e, t in zip(rest, _forest(rest), strict=True) if t]
+
+
+def bridges(edges: DataFrame, block: int = 1 << 17) -> DataFrame:
+    """(a, b): edges that are the only link between their ends.
+
+    Components of more than ``block`` edges are reduced in blocks to two edges a
+    node at most, which keep all bridges; then one task holds one component.
+    """
     ends = edges.select(F.least("a", "b").cast("long").alias("a"), F.greatest("a", "b").cast("long").alias("b")).filter("a <> b").distinct()
     of = components(ends).select(F.col("node").alias("a"), "component")
 
+    def reduce(group: pd.DataFrame) -> pd.DataFrame:
+        left = pd.DataFrame(_certificate(list(zip(group["a"].tolist(), group["b"].tolist(), strict=True))), columns=["a", "b"]).astype("int64")
+        return left.assign(component=group["component"].iloc[0])
+
     def find(group: pd.DataFrame) -> pd.DataFrame:
         nodes: dict[int, list[int]] = {}
         for a, b in zip(group["a"].tolist(), group["b"].tolist(), strict=True):
@@ -76,7 +110,18 @@ def bridges(edges: DataFrame) -> DataFrame:
             nodes.setdefault(b, []).append(a)
         return pd.DataFrame(_bridges(nodes), columns=["a", "b"]).astype("int64")
 
-    return ends.join(of, "a").groupBy("component").applyInPandas(find, "a long, b long")
+    live = _checkpointed(ends.join(of, "a").select("a", "b", F.col("component").cast("long").alias("component")))
+    held, turn = live.count(), 0
+    while True:
+        large = live.groupBy("component").agg(F.ceil(F.count("*") / block).alias("blocks")).filter("blocks > 1")
+        if large.isEmpty():
+            break
+        dealt = live.join(large, "component", "left").withColumn("block", F.pmod(F.xxhash64("a", "b", F.lit(turn)), F.coalesce("blocks", F.lit(1))))
+        live = _checkpointed(dealt.filter("blocks > 1").groupBy("component", "block").applyInPandas(reduce, "a long, b long, component long").union(dealt.filter("blocks is null").select("a", "b", "component")))
+        held, before, turn = live.count(), held, turn + 1
+        if held > 0.9 * before:
+            break
+    return live.groupBy("component").applyInPandas(find, "a long, b long")
 
 
 def has_cycle(parents: DataFrame, keys: list[str], node: str, parent: str, depth: int = 32) -> DataFrame:

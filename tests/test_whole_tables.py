@@ -1,5 +1,9 @@
 """Queries over whole tables, against brute force."""
 
+from collections import defaultdict
+from random import Random
+
+from talweg.operators import graph
 from talweg.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -26,3 +30,30 @@ def test_mention_groups_of_all_orders(spark):
     of = union_find([(o, k) for o, c, d in orders for k in ((1 << 60) + c, (1 << 61) + d)])
     got = {tuple(r) for r in registry.queries()["mention_groups_whole"](spark, SF).collect()}
     assert got == {(o, of[o]) for o, _, _ in orders}
+
+
+def opponents(spark):
+    by_order = defaultdict(set)
+    for o, s in spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey", "l_suppkey").collect():
+        by_order[o].add(s)
+    return {(a, b) for x in by_order.values() for a in x for b in x if a < b}
+
+
+def bridges_of(edges):
+    return {e for e in edges if (of := union_find([x for x in edges if x != e] + [(v, v) for v in e]))[e[0]] != of[e[1]]}
+
+
+def test_graph_of_all_lineitems(spark):
+    edges = opponents(spark)
+    assert {tuple(r) for r in registry.queries()["connected_components_whole"](spark, SF).collect()} == set(union_find(edges).items())
+    found = bridges_of(edges)
+    assert sorted(tuple(r) for r in registry.queries()["bridge_edges"](spark, SF).collect()) == sorted((*e, e in found) for e in edges)
+
+
+def test_blocks_keep_bridges(spark):
+    r = Random(3)
+    edges = {(min(a, b), max(a, b)) for _ in range(70) if (a := r.randrange(60)) != (b := r.randrange(60))} | {(a, b) for a in range(100, 115) for b in range(a + 1, 115)} | {(5, 100), (114, 200)}
+    got = graph.bridges(spark.createDataFrame(sorted(edges), "a long, b long"), block=20)
+    assert {tuple(x) for x in got.collect()} == bridges_of(edges)
+    dense = [(a, b) for a in range(40) for b in range(a)]
+    assert len(graph._certificate(dense)) <= 78
