@@ -57,3 +57,10 @@ def test_blocks_keep_bridges(spark):
     assert {tuple(x) for x in got.collect()} == bridges_of(edges)
     dense = [(a, b) for a in range(40) for b in range(a)]
     assert len(graph._certificate(dense)) <= 78
+
+
+def test_draws_of_all_events(spark):
+    got = registry.queries()["conditional_draws"](spark, SF)
+    want = spark.read.parquet(f"{SF}/lineitem.parquet")
+    assert got.count() == 4 * want.count()
+    assert got.select("l_orderkey").distinct().count() == want.select("l_orderkey").distinct().count()
