@@ -78,8 +78,8 @@ def list_items(value: Column) -> Column:
 
 def parse_number(value: Column) -> Column:
     """The first number of a text as double: digits grouped by commas, and a scale word after it."""
-    number = F.regexp_extract(value, r"(\d+(?:,\d{3})*(?:\.\d+)?)", 1)
-    scale = F.lower(F.regexp_extract(value, r"(?i)\d\s*(hundred|thousand|million|billion)\b", 1))
+    pattern = r"(?i)(\d+(?:,\d{3})*(?:\.\d+)?)(?:\s*(hundred|thousand|million|billion)\b)?"
+    number, scale = F.regexp_extract(value, pattern, 1), F.lower(F.regexp_extract(value, pattern, 2))
     factor = F.when(scale == "hundred", 1e2).when(scale == "thousand", 1e3).when(scale == "million", 1e6).when(scale == "billion", 1e9).otherwise(1.0)
     return F.when(number != "", F.replace(number, F.lit(","), F.lit("")).try_cast("double") * factor)
 

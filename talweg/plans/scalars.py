@@ -21,6 +21,12 @@ def parse_numbers(t: Tables) -> DataFrame:
     return plain.select("doc_id", text.parse_number(F.col("text")).alias("number"))
 
 
+@query()
+def parse_numbers_whole(t: Tables) -> DataFrame:
+    """``parse_numbers`` over all documents, with scale words and null texts."""
+    return t.documents.select("doc_id", text.parse_number(F.col("text")).alias("number"))
+
+
 @query("SELECT doc_id, CAST(len(regexp_extract_all(text, 'tion')) AS INTEGER) AS n, round(1000.0 * len(regexp_extract_all(text, 'tion')) / length(text), 6) AS density FROM documents")
 def mention_density(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.regexp_count("text", F.lit("tion")).alias("n"), F.round(text.mention_density(F.col("text"), "tion"), 6).alias("density"))
@@ -101,3 +107,9 @@ def scalar_arithmetic(t: Tables) -> DataFrame:
 def list_items(t: Tables) -> DataFrame:
     plain = t.documents.filter(~F.regexp_like("text", F.lit(r"[•*]|(?i)<br")))
     return plain.select("doc_id", F.size(text.list_items(F.col("text"))).alias("items"))
+
+
+@query()
+def list_items_whole(t: Tables) -> DataFrame:
+    """``list_items`` over all documents, with bullets, breaks and null texts."""
+    return t.documents.select("doc_id", F.size(text.list_items(F.col("text"))).alias("items"))

@@ -1,5 +1,6 @@
 """Queries over whole tables, against brute force."""
 
+import re
 from collections import defaultdict
 from random import Random
 
@@ -64,3 +65,21 @@ def test_draws_of_all_events(spark):
     want = spark.read.parquet(f"{SF}/lineitem.parquet")
     assert got.count() == 4 * want.count()
     assert got.select("l_orderkey").distinct().count() == want.select("l_orderkey").distinct().count()
+
+
+def number(value):
+    found = value is not None and re.search(r"(\d+(?:,\d{3})*(?:\.\d+)?)(?:\s*(hundred|thousand|million|billion)\b)?", value, re.I | re.A)
+    return float(found[1].replace(",", "")) * {"hundred": 1e2, "thousand": 1e3, "million": 1e6, "billion": 1e9}.get((found[2] or "").lower(), 1.0) if found else None
+
+
+def items(value):
+    return None if value is None else sum(x.strip(" ") != "" for x in re.split(r"(?i:<br\s*/?>)|[\n•*]+", value))
+
+
+def test_numbers_and_items_of_all_documents(spark, tmp_path):
+    docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    docs += [(10**6 + i, t) for i, t in enumerate((None, "", "In 1805, 3 thousand men", "2.5 Million", "1,200 hundred", "a • b * c<br/>d\n\n", "* <BR> x", "7 millions"))]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = lambda name: dict(tuple(r) for r in registry.queries()[name](spark, str(tmp_path)).collect())
+    assert got("parse_numbers_whole") == {i: number(t) for i, t in docs}
+    assert got("list_items_whole") == {i: items(t) for i, t in docs}
