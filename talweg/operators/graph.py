@@ -124,17 +124,19 @@ def bridges(edges: DataFrame, block: int = 1 << 17) -> DataFrame:
     return live.groupBy("component").applyInPandas(find, "a long, b long")
 
 
-def has_cycle(parents: DataFrame, keys: list[str], node: str, parent: str, depth: int = 32) -> DataFrame:
-    """Keys whose parent pointers run in a circle within ``depth`` steps."""
-    step = parents.filter(F.col(parent).isNotNull()).select(*keys, F.col(node).alias("n"), F.col(parent).alias("p"))
-    at = step.select(*keys, F.col("n").alias("start"), F.col("p").alias("at"))
-    circles = at.filter("start = at").select(*keys)
-    for i in range(depth):
-        at = _checkpointed(at.filter("start <> at").join(step.withColumnRenamed("n", "at"), [*keys, "at"]).select(*keys, "start", F.col("p").alias("at")).distinct()) if i % 4 == 3 else at.filter("start <> at").join(step.withColumnRenamed("n", "at"), [*keys, "at"]).select(*keys, "start", F.col("p").alias("at")).distinct()
-        circles = circles.union(at.filter("start = at").select(*keys))
-        if i % 4 == 3 and at.filter("start <> at").isEmpty():
-            break
-    return circles.distinct()
+def has_cycle(parents: DataFrame, keys: list[str], node: str, parent: str) -> DataFrame:
+    """Keys whose parent pointers run in a circle of any length.
+
+    Walks double until they have more steps than any key has nodes: one that
+    lasts so long has met a node twice.
+    """
+    walk = parents.filter(F.col(parent).isNotNull()).select(*keys, F.col(node).alias("n"), F.col(parent).alias("p")).distinct()
+    most = walk.groupBy(*keys).agg(F.count_distinct("n").alias("n")).agg(F.max("n")).first()[0] or 0
+    steps = 1
+    while steps <= most:
+        then = walk.select(*keys, F.col("n").alias("p"), F.col("p").alias("to"))
+        walk, steps = _checkpointed(walk.join(then, [*keys, "p"]).select(*keys, "n", F.col("to").alias("p")).distinct()), 2 * steps
+    return walk.select(*keys).distinct()
 
 
 def broken_merges(merges: DataFrame, source: str, target: str) -> DataFrame:

@@ -83,3 +83,9 @@ def test_numbers_and_items_of_all_documents(spark, tmp_path):
     got = lambda name: dict(tuple(r) for r in registry.queries()[name](spark, str(tmp_path)).collect())
     assert got("parse_numbers_whole") == {i: number(t) for i, t in docs}
     assert got("list_items_whole") == {i: items(t) for i, t in docs}
+
+
+def test_circles_of_any_length(spark):
+    rows = [("long", i, (i + 1) % 50) for i in range(50)] + [("chain", i, i + 1) for i in range(70)] + [("tail", 0, 1), ("tail", 1, 2), ("tail", 2, 1)]
+    got = graph.has_cycle(spark.createDataFrame(rows, "side string, n int, p int"), ["side"], "n", "p")
+    assert {r[0] for r in got.collect()} == {"long", "tail"}
