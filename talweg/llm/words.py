@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 BASE = np.uint64(0x9E3779B97F4A7C15 | 5)
 _MASK = (1 << 64) - 1
 _BASE_INV = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -85,6 +85,12 @@ def offsets(texts: pa.Array) -> np.ndarray:
     return np.frombuffer(texts.buffers()[1], kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
 
 
+def parts(batch: pa.RecordBatch, rows: int = 50_000) -> Iterator[pa.RecordBatch]:
+    """A batch in batches of at most ``rows`` rows, so that whoever reads them holds no more at a time."""
+    for at in range(0, max(1, batch.num_rows), rows):
+        yield batch.slice(at, rows)
+
+
 def filled(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     """One Arrow array with nulls as empty texts."""
     if isinstance(column, pa.ChunkedArray):
