@@ -13,6 +13,13 @@ Matches of ``min_words`` or more are joined into passages.
 
 A suffix carries ``min_words`` words to its right and ``min_words - k`` to its
 left; longer passages hold several suffixes, whose matches overlap.
+
+Where a text repeats itself (a word or a phrase over and over), every repeat
+ties for the smallest k-gram. Repeats of one k-gram in one document, each at
+most ``min_words`` after the one before, travel as one chain; those among them
+with equal words on both sides are one suffix with a first and a last place, as
+whatever the first of them matches the others match too, and as matches are
+longer than the steps between them their ranges have no gap.
 """
 
 from __future__ import annotations
@@ -27,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from talweg.llm.common import partitions, written
-from talweg.llm.words import Words, filled, mix, signed, slices
+from talweg.llm.words import Words, filled, mix, parts, signed, slices
 
 #: k, w and the least words of a passage; k + w - 1 < MIN_WORDS, so that every passage retains a suffix.
 K, W, MIN_WORDS = 18, 32, 50
@@ -59,11 +66,14 @@ def minimisers(grams: np.ndarray, first: np.ndarray, w: int) -> np.ndarray:
     return np.flatnonzero((best == grams) & (best > 0))
 
 
-def shared_suffixes(docs: DataFrame, k: int, w: int) -> DataFrame:
-    """(id, key, pos): retained suffixes whose k-gram occurs under two ids or more. ``docs``: id, text."""
+def shared_suffixes(docs: DataFrame, k: int, w: int, step: int) -> DataFrame:
+    """(id, key, pos, last): chains of retained suffixes whose k-gram occurs under two ids or more. ``docs``: id, text.
+
+    A chain holds the places of one k-gram in one document that follow each other by ``step`` words at most.
+    """
 
     def retain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (key, id, pos, kind): kind 0 not yet known to be shared, 1 known, 2 known and needed no more for telling others."""
+        """Rows (key, id, pos, last, kind): kind 0 not yet known to be shared, 1 known, 2 known and needed no more for telling others."""
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
 
@@ -71,12 +81,15 @@ def shared_suffixes(docs: DataFrame, k: int, w: int) -> DataFrame:
             key, ids, pos = (np.concatenate(c) for c in zip(*held, strict=True))
             order = np.lexsort((pos, ids, key))
             key, ids, pos = key[order], ids[order], pos[order]
+            heads = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1]) | (pos[1:] - pos[:-1] > step)))
+            last = pos[np.append(heads[1:], len(pos)) - 1]
+            key, ids, pos = key[heads], ids[heads], pos[heads]
             new = np.append(True, key[1:] != key[:-1])
             starts = np.flatnonzero(new)
             run = np.cumsum(new) - 1
             several = ids[np.append(starts[1:], len(key)) - 1] != ids[starts]
             kind = np.where(several[run], np.where(new, 1, 2), 0).astype(np.int8)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(ids), pa.array(pos), pa.array(kind)], names=["key", "id", "pos", "kind"])
+            yield from parts(pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(ids), pa.array(pos), pa.array(last), pa.array(kind)], names=["key", "id", "pos", "last", "kind"]))
 
         for batch in batches:
             texts, ids = filled(batch.column(1)), batch.column(0).to_numpy(zero_copy_only=False)
@@ -87,17 +100,17 @@ def shared_suffixes(docs: DataFrame, k: int, w: int) -> DataFrame:
                 doc = np.searchsorted(first, best, side="right") - 1
                 held.append((grams[best], ids[at:to][doc], (best - first[doc]).astype(np.int32)))
                 size += len(best)
-            if size > 2_000_000:
+            if size > 1_000_000:
                 yield from flush()
                 held, size = [], 0
         if size:
             yield from flush()
 
     def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [[c.to_numpy() for c in b.columns] for b in batches]
-        if not parts:
+        held = [[c.to_numpy() for c in b.columns] for b in batches]
+        if not held:
             return
-        key, ids, pos, kind = (np.concatenate(c) for c in zip(*parts, strict=True))
+        key, ids, pos, last, kind = (np.concatenate(c) for c in zip(*held, strict=True))
         told = kind == 2
         keep = np.flatnonzero(told)
         rest = np.flatnonzero(~told)
@@ -105,14 +118,14 @@ def shared_suffixes(docs: DataFrame, k: int, w: int) -> DataFrame:
         if len(order):
             new = np.append(True, key[order][1:] != key[order][:-1])
             starts = np.flatnonzero(new)
-            last = np.append(starts[1:], len(order)) - 1
-            shared = (ids[order[last]] != ids[order[starts]]) | (np.maximum.reduceat(kind[order], starts) == 1)
-            keep = np.concatenate((keep, order[np.repeat(shared, last - starts + 1)]))
-        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (ids, key, pos)], names=["id", "key", "pos"])
+            ends = np.append(starts[1:], len(order))
+            shared = (ids[order[ends - 1]] != ids[order[starts]]) | (np.maximum.reduceat(kind[order], starts) == 1)
+            keep = np.concatenate((keep, order[np.repeat(shared, ends - starts)]))
+        yield from parts(pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (ids, key, pos, last)], names=["id", "key", "pos", "last"]))
 
     # a common k-gram sends one row a task to its place; its other rows go by document
-    dealt = docs.mapInArrow(retain, "key long, id long, pos int, kind byte").repartition(F.when(F.col("kind") == 2, F.xxhash64("id", "pos")).otherwise(F.col("key")))
-    return dealt.mapInArrow(share, "id long, key long, pos int")
+    dealt = docs.mapInArrow(retain, "key long, id long, pos int, last int, kind byte").repartition(F.when(F.col("kind") == 2, F.xxhash64("id", "pos")).otherwise(F.col("key")))
+    return dealt.mapInArrow(share, "id long, key long, pos int, last int")
 
 
 def _fixed(rows: np.ndarray) -> pa.Array:
@@ -121,11 +134,11 @@ def _fixed(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1, dtype=np.int32) * width).tobytes()), pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
 
 
-CONTEXT = "key long, right binary, left binary, id long, pos int, n_right int, n_left int"
+CONTEXT = "key long, right binary, left binary, id long, pos int, last int, n_right int, n_left int"
 
 
 def contexts(docs: DataFrame, suffixes: DataFrame, k: int, min_words: int) -> DataFrame:
-    """Each suffix with the words to its right (its k-gram first) and to its left (nearest first), as 32-bit hashes."""
+    """Each suffix with the words to its right (its k-gram first) and to its left (nearest first), as 32-bit hashes; ``last`` is its last place in a chain of equal contexts."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ahead, back = np.arange(min_words), np.arange(1, min_words - k + 1)
@@ -134,30 +147,36 @@ def contexts(docs: DataFrame, suffixes: DataFrame, k: int, min_words: int) -> Da
             held = batch.column(2)
             off = held.offsets.to_numpy()
             flat = held.values
-            pos_all, key_all = (flat.field(i).to_numpy() for i in (0, 1))
+            pos_all, last_all, key_all = (flat.field(i).to_numpy() for i in (0, 1, 2))
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for at, to in slices(texts):
                 words = Words(texts.slice(at, to - at))
                 grams, first = words.grams(k)
                 short = (words.hash >> np.uint64(32)).astype(np.uint32)
-                pos, key = pos_all[off[at] : off[to]].astype(np.int64), key_all[off[at] : off[to]]
+                low, high, key = (x[off[at] : off[to]] for x in (pos_all, last_all, key_all))
                 doc = np.repeat(np.arange(to - at), np.diff(off[at : to + 1]))
                 # rows that repeat an id may bring places of another text
-                fine = pos < np.diff(first)[doc]
-                fine[fine] = signed(grams)[first[doc[fine]] + pos[fine]] == key[fine]
-                pos, key, doc = pos[fine], key[fine], doc[fine]
+                size = np.maximum(np.minimum(high, np.diff(first)[doc] - 1) - low + 1, 0)
+                chain = np.repeat(np.arange(len(key)), size)
+                pos = np.arange(len(chain)) - np.repeat(np.cumsum(size) - size - low, size)
+                fine = signed(grams)[first[doc[chain]] + pos] == key[chain]
+                chain, pos = chain[fine], pos[fine]
                 for i in range(0, len(pos), 20_000):
-                    p, d = pos[i : i + 20_000], doc[i : i + 20_000]
+                    p, of = pos[i : i + 20_000], chain[i : i + 20_000]
+                    d = doc[of]
                     here = words.first[d] + p
                     n_right, n_left = np.minimum(words.n[d] - p, min_words), np.minimum(p, min_words - k)
                     right = np.where(ahead < n_right[:, None], short[np.minimum(here[:, None] + ahead, len(short) - 1)], np.uint32(0))
                     left = np.where(back <= n_left[:, None], short[np.maximum(here[:, None] - back, 0)], np.uint32(0))
+                    equal = (of[1:] == of[:-1]) & (p[1:] - p[:-1] <= min_words) & (n_right[1:] == n_right[:-1]) & (n_left[1:] == n_left[:-1]) & (right[1:] == right[:-1]).all(1) & (left[1:] == left[:-1]).all(1)
+                    head = np.flatnonzero(np.append(True, ~equal))
+                    last = p[np.append(head[1:], len(p)) - 1]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(key[i : i + 20_000]), _fixed(right), _fixed(left), pa.array(ids[at:to][d]), pa.array(p.astype(np.int32)), pa.array(n_right.astype(np.int32)), pa.array(n_left.astype(np.int32))],
-                        names=["key", "right", "left", "id", "pos", "n_right", "n_left"],
+                        [pa.array(key[of[head]]), _fixed(right[head]), _fixed(left[head]), pa.array(ids[at:to][d[head]]), *(pa.array(x.astype(np.int32)) for x in (p[head], last, n_right[head], n_left[head]))],
+                        names=["key", "right", "left", "id", "pos", "last", "n_right", "n_left"],
                     )
 
-    places = suffixes.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "key"))).alias("places"))
+    places = suffixes.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "last", "key"))).alias("places"))
     return docs.join(places.hint("merge"), "id").select("id", "text", "places").mapInArrow(cut, CONTEXT)
 
 
@@ -201,8 +220,8 @@ def _least_and_largest(h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]
 class _Hits:
     """The least and most r of each row's stretches that other documents (0) or earlier ones (1) have."""
 
-    def __init__(self, ids: np.ndarray, pos: np.ndarray, min_words: int):
-        self.ids, self.pos, self.min_words = ids, pos, min_words
+    def __init__(self, ids: np.ndarray, pos: np.ndarray, last: np.ndarray, min_words: int):
+        self.ids, self.pos, self.last, self.min_words = ids, pos, last, min_words
         self.least, self.most = np.full((2, len(ids)), min_words + 1, np.int64), np.full((2, len(ids)), -1, np.int64)
 
     def add(self, r: int, rows: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
@@ -215,13 +234,13 @@ class _Hits:
         out = []
         for k in (0, 1):
             hit = np.flatnonzero(self.most[k] >= 0)
-            out.append((self.ids[hit], self.pos[hit] - self.most[k, hit], self.pos[hit] - self.least[k, hit] + self.min_words, np.full(len(hit), k == 1)))
+            out.append((self.ids[hit], self.pos[hit] - self.most[k, hit], self.last[hit] - self.least[k, hit] + self.min_words, np.full(len(hit), k == 1)))
         return out
 
 
-def stretches(ids: np.ndarray, pos: np.ndarray, right: np.ndarray, left: np.ndarray, n_right: np.ndarray, n_left: np.ndarray, min_words: int) -> list[tuple[np.ndarray, ...]]:
+def stretches(ids: np.ndarray, pos: np.ndarray, last: np.ndarray, right: np.ndarray, left: np.ndarray, n_right: np.ndarray, n_left: np.ndarray, min_words: int) -> list[tuple[np.ndarray, ...]]:
     """Matches as (id, start, end, earlier) from stretches of ``min_words`` that begin r words before a suffix, for each r."""
-    hits = _Hits(ids, pos, min_words)
+    hits = _Hits(ids, pos, last, min_words)
     for r, whole, h in _hashes(right, left, n_right, n_left, min_words):
         order, starts, low, high = _least_and_largest(h, ids[whole])
         times = np.diff(np.append(starts, len(h)))
@@ -239,14 +258,14 @@ def reach(key: np.ndarray, right: np.ndarray, n_right: np.ndarray) -> np.ndarray
 
 
 def _columns(rows: pa.Table) -> tuple[np.ndarray, ...]:
-    """key, id, pos, n_right, n_left, right and left of rows."""
+    """key, id, pos, last, n_right, n_left, right and left of rows."""
     one = [rows.column(c).combine_chunks() if rows.column(c).num_chunks != 1 else rows.column(c).chunk(0) for c in ("right", "left")]
-    return *(rows.column(c).to_numpy() for c in ("key", "id", "pos", "n_right", "n_left")), *(_matrix(c, rows.num_rows) for c in one)
+    return *(rows.column(c).to_numpy() for c in ("key", "id", "pos", "last", "n_right", "n_left")), *(_matrix(c, rows.num_rows) for c in one)
 
 
 def compare(rows: pa.Table, min_words: int) -> tuple[pa.RecordBatch, pa.RecordBatch, np.ndarray]:
     """Of a task's sorted suffixes: their matches; the stretches that other tasks may have too (hash, smallest and largest id); and the places of the suffixes with such stretches."""
-    key, ids, pos, n_right, n_left, right, left = _columns(rows)
+    key, ids, pos, last, n_right, n_left, right, left = _columns(rows)
     n = rows.num_rows
     new = np.append(True, (ids[1:] != ids[:-1]) | (key[1:] != key[:-1]))
     starts = np.flatnonzero(new)
@@ -262,8 +281,8 @@ def compare(rows: pa.Table, min_words: int) -> tuple[pa.RecordBatch, pa.RecordBa
             back = _common(left[some], left[it], np.minimum(n_left[some], n_left[it]))
             long = ahead + back >= min_words
             some, it, ahead, back = some[long], it[long], ahead[long], back[long]
-            found.append((ids[some], pos[some] - back, pos[some] + ahead, ids[it] < ids[some]))
-    found += stretches(ids, pos, right, left, n_right, n_left, min_words)
+            found.append((ids[some], pos[some] - back, last[some] + ahead, ids[it] < ids[some]))
+    found += stretches(ids, pos, last, right, left, n_right, n_left, min_words)
     near = reach(key, right, n_right)
     border = np.flatnonzero(near + n_left >= min_words)
     partial = [(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))]
@@ -286,10 +305,10 @@ def settled(rows: pa.Table, told: pa.Table, min_words: int) -> pa.Table:
     """Matches that one task's border suffixes have in other tasks only, by stretches (hash, smallest and largest id over all tasks, smallest here as own)."""
     if not rows.num_rows or not told.num_rows:
         return pa.table([pa.array([], t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.bool_())], ["id", "start", "end", "earlier"])
-    _, ids, pos, n_right, n_left, right, left = _columns(rows)
+    _, ids, pos, last, n_right, n_left, right, left = _columns(rows)
     order = np.argsort(told.column("hash").to_numpy())
     known, low, high, own = (told.column(c).to_numpy()[order] for c in ("hash", "low", "high", "own"))
-    hits = _Hits(ids, pos, min_words)
+    hits = _Hits(ids, pos, last, min_words)
     for r, whole, h in _hashes(right, left, n_right, n_left, min_words):
         at = np.minimum(np.searchsorted(known, signed(h)), len(known) - 1)
         hit = (known[at] == signed(h)) & (ids[whole] == own[at])  # other ids have an earlier one here
@@ -319,8 +338,8 @@ def matches(suffixes: DataFrame, min_words: int) -> DataFrame:
         kinds = {"match": [found], "end": [ends], "suffix": rows.take(pa.array(border)).to_batches()}
         types = {"match": pa.struct(found.schema), "end": pa.struct(ends.schema), "suffix": pa.struct(rows.schema)}
         task = TaskContext.get().partitionId()
-        for kind, parts in kinds.items():
-            for b in parts:
+        for kind, some in kinds.items():
+            for b in (piece for whole in some for piece in parts(whole, 10_000)):
                 columns = [pa.StructArray.from_arrays(b.columns, fields=list(b.schema)) if kind == n else pa.nulls(b.num_rows, t) for n, t in types.items()]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, task, np.int32)), *columns], names=["task", *types])
 
@@ -374,7 +393,7 @@ def repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     if k + w - 1 >= min_words or w & (w - 1):
         raise ValueError("k + w - 1 must be below min_words and w a power of two")
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
-    found = matches(contexts(base, shared_suffixes(base, k, w), k, min_words), min_words)
+    found = matches(contexts(base, shared_suffixes(base, k, w, min_words), k, min_words), min_words)
     return passages(found.filter("earlier") if only_later else found)
 
 

@@ -141,3 +141,42 @@ def test_private_words_beside_a_frequent_line_match_brute_force(spark):
             rows += [(j, " ".join([word() for _ in range(30)] + own + line + [word() for _ in range(60)])) for j in (i, i + 1)]
         assert found(spark, rows) == brute(rows)
         assert found(spark, rows, only_later=True) == brute(rows, only_later=True)
+
+
+def repeating(seed=6):
+    """Texts that say a word or a phrase over and over, in other lengths and company."""
+    r = Random(seed)
+    word = lambda: f"w{r.randrange(10**7)}"
+    phrases = [[word()], [word(), word()], [word() for _ in range(7)], [word() for _ in range(31)], [word() for _ in range(45)]]
+    rows = []
+    for i in range(40):
+        w = []
+        for _ in range(r.randrange(1, 4)):
+            p = r.choice(phrases)
+            w += [word() for _ in range(r.choice((0, 2, 30)))] + (p * 400)[r.randrange(len(p)) :][: r.choice((20, 49, 50, 51, 130, 700))]
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def test_texts_that_repeat_themselves_match_brute_force(spark):
+    rows = repeating()
+    assert found(spark, rows) == brute(rows)
+    assert found(spark, rows, only_later=True) == brute(rows, only_later=True)
+
+
+def test_repeats_of_a_word_are_one_suffix(spark):
+    df = spark.createDataFrame([(i, "again " * 5000) for i in range(20)], "id long, text string")
+    chains = suffixes.shared_suffixes(df, suffixes.K, suffixes.W, 50)
+    assert chains.count() == 20
+    assert suffixes.contexts(df, chains, suffixes.K, 50).count() <= 20 * 90
+
+
+def test_partition_numbers_do_not_matter(spark):
+    rows = planted(12) + [(100 + i, t) for i, t in repeating(3)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("1", "7", "60"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            assert found(spark, rows) == brute(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
