@@ -113,7 +113,7 @@ def mix_plan(
     sums = known.groupBy("src", "bucket").agg(F.sum("size").alias("held"))
     before = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("src", "bucket", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("ahead"))
-    inner = Window.partitionBy("src", "bucket").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy("src", "bucket").orderBy("key", "size", F.xxhash64("doc")).rowsBetween(Window.unboundedPreceding, -1)
     lined = known.withColumn("within", F.coalesce(F.sum("size").over(inner), F.lit(0)))
     lined = lined.join(sums, ["src", "bucket"], "left")  # dealt by the window's keys, so texts don't move again
     start = F.col("ahead") + F.col("within")
@@ -124,9 +124,20 @@ def mix_plan(
     return lined.select("doc", "size", "source_size", "target", F.size(taken).cast("long").alias("copies"), positions.alias("positions"))
 
 
-def mixed(plan: DataFrame) -> DataFrame:
-    """The mix itself: the documents' own columns, repeated as taken, range-sorted by training position."""
+def ordered(plan: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
+    """``plan``'s documents range-sorted by their first training position, those that the mix leaves out last.
+
+    Ties go by id (null first) and then by the row's hash, so that reruns agree.
+    """
+    by = [F.element_at("positions", 1).asc_nulls_last(), F.col("doc").getField(id_col).asc_nulls_first(), F.xxhash64("doc")]
+    rows = plan.withColumn("positions", F.when(F.size("positions") > 0, F.col("positions")))
+    return rows.repartitionByRange(*by).sortWithinPartitions(*by)
+
+
+def mixed(plan: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
+    """The mix itself: the documents' own columns, repeated as taken, range-sorted by training position, then id, then the row's hash."""
     names = plan.schema["doc"].dataType.names
+    by = [F.col("position"), F.col("doc").getField(id_col).asc_nulls_first(), F.xxhash64("doc")]
     rows = plan.select("doc", F.explode("positions").alias("position"))
-    rows = rows.repartitionByRange(F.col("position")).sortWithinPartitions("position")
+    rows = rows.repartitionByRange(*by).sortWithinPartitions(*by)
     return rows.select(*[F.col("doc").getField(c).alias(c) for c in names])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talweg.llm import imatch, jaccard, lattice, licenses, mixing, packing, resampling, suffixes, topk, warc
-from talweg.llm.common import table
+from talweg.llm.common import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,7 +60,9 @@ def op7_norm_bucketed_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix_plan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return plan.select(F.col("doc.doc_id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    slim = plan.withColumn("doc", F.struct("doc.doc_id", "doc.source"))  # texts don't travel to the sort
+    place: Callable[[int], Column] = lambda copy: F.round(F.get("positions", F.lit(copy)), 9)
+    return mixing.ordered(written(slim)).select(F.col("doc.doc_id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), place(0).alias("position"), place(1).alias("second_position"))
 
 
 def op9_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,13 +100,31 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < best THEN 're
 FROM m
 """
 
-OP8_SQL = r"""
-WITH d AS (
+def _number(x: float) -> str:
+    return repr(x) if "e" in repr(x) else f"{x!r}e0"  # a DOUBLE, not a DECIMAL
+
+
+def _place(copy: int) -> str:
+    """SQL of the time at which a source's demand reaches the document's place in its line, second round if ``copy`` is 1."""
+    share = f"coalesce(({copy} * source_size + start) / nullif(target, 0), 0)"
+    piece = f"(SELECT min(k) FROM pieces x WHERE x.schedule = l.schedule AND (x.c1 > {share} AND x.c1 > x.c0 OR x.is_last))"
+    rest = f"greatest({share} - c0, 0)"
+    root = f"sqrt(greatest(w0 * w0 + 2 * ((w1 - w0) / (t1 - t0)) * {rest}, 0))"
+    return f"(SELECT round(least(t0 + coalesce(2 * {rest} / nullif(w0 + {root}, 0), 0), t1), 9) FROM pieces p WHERE p.schedule = l.schedule AND p.k = {piece})"
+
+
+_PIECES = ", ".join(
+    f"({i}, {k}, {k == len(mixing.segments(schedule)) - 1}, {', '.join(map(_number, piece))})" for i, schedule in enumerate(mixing.DEFAULT_SCHEDULES) for k, piece in enumerate(mixing.segments(schedule))
+)
+OP8_SQL = rf"""
+WITH pieces(schedule, k, is_last, t0, t1, w0, w1, c0, c1) AS (VALUES {_PIECES}
+), d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
 ), w AS (
-  SELECT source, source_size, CAST(CASE (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS DOUBLE) AS weight FROM s
+  SELECT source, source_size, (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 AS schedule,
+         CAST(CASE (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS DOUBLE) AS weight FROM s
 ), o AS (
   SELECT *, 2.0 * source_size AS cap,
          coalesce(sum(2.0 * source_size) OVER p, 0) AS capped, (SELECT sum(weight) FROM w) - coalesce(sum(weight) OVER p, 0) AS rest,
@@ -115,13 +135,17 @@ WITH d AS (
 ), f AS (
   SELECT level FROM v WHERE weight * level <= cap ORDER BY place LIMIT 1
 ), t AS (
-  SELECT source, source_size, coalesce(least(weight * (SELECT level FROM f), cap), cap) AS target FROM o
-), l AS (
+  SELECT source, source_size, schedule, CAST(coalesce(least(weight * (SELECT level FROM f), cap), cap) AS DOUBLE) AS target FROM o
+), n AS (
   SELECT doc_id, source, size, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR) || 'mix'), size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d
+), l AS (
+  SELECT n.doc_id, n.size, t.source_size, t.schedule, t.target, CAST(n.start AS DOUBLE) AS start,
+         (CASE WHEN n.start + n.size / 2.0 < t.target THEN 1 ELSE 0 END) + (CASE WHEN t.source_size + n.start + n.size / 2.0 < t.target THEN 1 ELSE 0 END) AS copies
+  FROM n JOIN t ON n.source IS NOT DISTINCT FROM t.source
 )
-SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target,
-       CAST(size * ((CASE WHEN start + size / 2.0 < target THEN 1 ELSE 0 END) + (CASE WHEN source_size + start + size / 2.0 < target THEN 1 ELSE 0 END)) AS BIGINT) AS taken
-FROM l JOIN t ON l.source IS NOT DISTINCT FROM t.source
+SELECT doc_id, size, source_size, target, CAST(size * copies AS BIGINT) AS taken,
+       CASE WHEN copies > 0 THEN {_place(0)} END AS position, CASE WHEN copies > 1 THEN {_place(1)} END AS second_position
+FROM l
 """
 
 

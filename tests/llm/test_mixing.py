@@ -13,7 +13,18 @@ def test_matches_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
     want = sorted(con.sql(OP8_SQL).fetchall())
-    assert sorted(tuple(r) for r in op8_curriculum_mixing(spark, SF).collect()) == want
+    got = [tuple(r) for r in op8_curriculum_mixing(spark, SF).collect()]
+    assert sorted(got) == want
+    places = [(r[5] is None, r[5] or 0, r[0]) for r in got]
+    assert places == sorted(places) and any(r[6] for r in got)
+    assert got == [tuple(r) for r in op8_curriculum_mixing(spark, SF).collect()]
+
+
+def test_reruns_give_the_same_order(spark):
+    rows = [(i % 7, f"{'w ' * (i % 5)}", "abc"[i % 3]) for i in range(120)] + [(None, "x", None)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    first = [tuple(r) for r in mixing.mixed(mixing.mix_plan(df)).collect()]
+    assert first == [tuple(r) for r in mixing.mixed(mixing.mix_plan(df.repartition(5))).collect()]
 
 
 def test_water_fill():
