@@ -8,14 +8,10 @@ from talweg.llm import topk
 
 
 def brute(rows, k=5, every=50):
-    fine = {}
-    for i, v in rows:
-        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            q = [math.floor(256 * x) for x in v]
-            fine[i] = min(fine.get(i, q), q)
+    fine = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for i in (i for i in fine if i % every == 0):
-        scores = sorted(((sum(a * b for a, b in zip(fine[i], fine[j])), j) for j in fine if j != i), key=lambda s: (-s[0], s[1]))[:k]
+    for i in sorted({i for i, _ in fine if i % every == 0}):
+        scores = sorted(((sum(a * b for a, b in zip(q, v)), j) for h, q in fine if h == i for j, v in fine if j != i), key=lambda s: (-s[0], s[1]))[:k]
         out += [(i, n + 1, j, s) for n, (s, j) in enumerate(scores)]
     return sorted(out)
 
@@ -43,6 +39,20 @@ def test_edge_cases(spark):
     assert found(spark, [(0, [1.0])]) == []
 
 
+def test_repeated_ids_are_candidates_of_their_own(spark):
+    rows = [(1, [3.0, 0.0]), (1, [2.0, 0.0]), (2, [1.0, 1.0]), (50, [1.0, 0.0]), (50, [0.0, 2.0]), (3, [0.0, 9.0])] + [(4, [0.5, 0.5])] * 3
+    got = found(spark, rows, block_rows=2, query_rows=1)
+    assert got == brute(rows) and got[1][2:] == (1, 196608)
+
+
+def test_buckets_of_very_different_lengths_match_brute_force(spark):
+    r = np.random.default_rng(3)
+    unit = r.normal(size=(600, 8))
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    rows = [(i, [float(np.float32(x)) for x in v * (50 if i < 300 else 0.5)]) for i, v in enumerate(unit)]
+    assert found(spark, rows, block_rows=50, query_rows=4) == brute(rows)
+
+
 def test_bounds_only_drop_what_falls_short():
     r = np.random.default_rng(8)
     v, q = np.floor(r.normal(size=(300, 16)) * 100), np.floor(r.normal(size=(20, 16)) * 100)
