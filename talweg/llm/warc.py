@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talweg.llm.common import shared_dir
+from talweg.llm.common import shared_dir, written
 
 #: Fixed values of the formats: frame magics and the revisit profile.
 SKIPPABLE = 0x184D2A5D
@@ -259,7 +259,7 @@ def write_pages(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_c
     store, root = _at(folder)
     store.create_dir(root, recursive=True)
     made = rows.select("page", "url", F.when(F.col("refers_to").isNull(), F.col("html")).otherwise("").alias("html"), "digest", "size", "refers_to").mapInArrow(write, "archive string, records long, bytes long")
-    return spark.createDataFrame(made.collect(), made.schema)  # one row per archive
+    return written(made)
 
 
 def read_pages(spark: SparkSession, folder: str) -> DataFrame:
