@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talweg.catalog import Tables
+from talweg.catalog import TABLES, Tables
 from talweg.functions.maths import floor_bin, wilson
 from talweg.operators import aggregates, windows
 from talweg.plans.registry import query
@@ -252,10 +252,10 @@ def era_effect(t: Tables) -> DataFrame:
     return _rounded(aggregates.era_effect(t.orders.withColumn("x", F.log("o_totalprice")), "x", F.col("o_orderdate") < F.lit("1995-01-01").cast("timestamp")))
 
 
-@query(" UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n FROM {n}" for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")))
+@query(" UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n FROM {n}" for n in TABLES))
 def table_counts(t: Tables) -> DataFrame:
     out = None
-    for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"):
+    for n in TABLES:
         one = getattr(t, n).agg(F.count("*").alias("n")).select(F.lit(n).alias("name"), "n")
         out = one if out is None else out.union(one)
     return out

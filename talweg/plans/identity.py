@@ -57,19 +57,13 @@ def match_decisions(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH RECURSIVE m AS (SELECT o_orderkey AS id, unnest(['c' || (o_custkey % 400), 'd' || CAST(floor(o_totalprice * 100) AS BIGINT) % 100000]) AS k FROM orders WHERE o_orderkey % 10 < 3 AND o_orderstatus = 'P'),
-e AS (SELECT DISTINCT a.id AS x, b.id AS y FROM m a JOIN m b ON a.k = b.k), r AS (SELECT x AS node, y AS seen FROM e UNION SELECT r.node, e.y FROM r JOIN e ON e.x = r.seen)
-SELECT node AS o_orderkey, min(seen) AS "group" FROM r GROUP BY 1
+WITH RECURSIVE m AS (SELECT o_orderkey AS id, unnest(['c' || (o_custkey % 400), 'd' || CAST(floor(o_totalprice * 100) AS BIGINT) % 100000]) AS k FROM orders),
+r(node, least) USING KEY (node) AS (
+  SELECT DISTINCT id, id FROM m UNION
+  SELECT m.id, min(l.least) FROM (SELECT m.k, min(q.least) AS least FROM recurring.r q JOIN m ON m.id = q.node GROUP BY 1) l JOIN m ON m.k = l.k JOIN recurring.r o ON o.node = m.id WHERE l.least < o.least GROUP BY 1)
+SELECT node AS o_orderkey, least AS "group" FROM r
 """)
 def mention_groups(t: Tables) -> DataFrame:
-    some = t.orders.filter("o_orderkey % 10 < 3 AND o_orderstatus = 'P'")
-    keys = F.array(F.concat(F.lit("c"), F.col("o_custkey") % 400), F.concat(F.lit("d"), F.floor(F.col("o_totalprice") * 100) % 100000))
-    return identity.key_groups(some.select("o_orderkey", keys.alias("keys")), "o_orderkey", "keys")
-
-
-@query()
-def mention_groups_whole(t: Tables) -> DataFrame:
-    """``mention_groups`` over all orders, whose closure is too large for its SQL."""
     keys = F.array(F.concat(F.lit("c"), F.col("o_custkey") % 400), F.concat(F.lit("d"), F.floor(F.col("o_totalprice") * 100) % 100000))
     return identity.key_groups(t.orders.select("o_orderkey", keys.alias("keys")), "o_orderkey", "keys")
 

@@ -113,24 +113,15 @@ def opponent_edges(t: Tables) -> DataFrame:
     return relational.opponent_edges(t.lineitem, "l_orderkey", "l_linenumber", "l_suppkey")
 
 
-_SPARSE = "SELECT l_orderkey, l_linenumber, l_suppkey FROM lineitem WHERE l_extendedprice > 90000 AND l_discount < 0.02"
-
-
-@query(f"""
-WITH RECURSIVE li AS ({_SPARSE}), e AS (
-  SELECT DISTINCT least(a.l_suppkey, b.l_suppkey) AS low, greatest(a.l_suppkey, b.l_suppkey) AS high FROM li a JOIN li b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber AND a.l_suppkey <> b.l_suppkey
-), u AS (SELECT low AS x, high AS y FROM e UNION SELECT high, low FROM e), r AS (SELECT x AS node, x AS seen FROM u UNION SELECT r.node, u.y FROM r JOIN u ON u.x = r.seen)
-SELECT node, min(seen) AS component FROM r GROUP BY node
+@query("""
+WITH RECURSIVE u AS (
+  SELECT DISTINCT a.l_suppkey AS x, b.l_suppkey AS y FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey <> b.l_suppkey
+), r(node, component) USING KEY (node) AS (
+  SELECT x, min(least(x, y)) FROM u GROUP BY x UNION
+  SELECT u.y, min(q.component) FROM recurring.r q JOIN u ON u.x = q.node JOIN recurring.r o ON o.node = u.y WHERE q.component < o.component GROUP BY u.y)
+SELECT node, component FROM r
 """)
 def connected_components(t: Tables) -> DataFrame:
-    sparse = t.lineitem.filter("l_extendedprice > 90000 AND l_discount < 0.02")
-    edges = relational.opponent_edges(sparse, "l_orderkey", "l_linenumber", "l_suppkey")
-    return graph.components(edges.select(F.col("low").alias("a"), F.col("high").alias("b")))
-
-
-@query()
-def connected_components_whole(t: Tables) -> DataFrame:
-    """``connected_components`` over all of lineitem, whose closure is too large for its SQL."""
     edges = relational.opponent_edges(t.lineitem, "l_orderkey", "l_linenumber", "l_suppkey")
     return graph.components(edges.select(F.col("low").alias("a"), F.col("high").alias("b")))
 

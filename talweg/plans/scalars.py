@@ -15,15 +15,14 @@ def roundness(t: Tables) -> DataFrame:
     return t.lineitem.select("l_orderkey", "l_linenumber", maths.roundness(F.col("l_quantity") * 100).alias("roundness"))
 
 
-@query(r"SELECT doc_id, TRY_CAST(replace(regexp_extract(text, '(\d+(?:,\d{3})*(?:\.\d+)?)', 1), ',', '') AS DOUBLE) AS number FROM documents WHERE NOT regexp_matches(text, '(?i)\d\s*(hundred|thousand|million|billion)\b')")
-def parse_numbers(t: Tables) -> DataFrame:
-    plain = t.documents.filter(~F.regexp_like("text", F.lit(r"(?i)\d\s*(hundred|thousand|million|billion)\b")))
-    return plain.select("doc_id", text.parse_number(F.col("text")).alias("number"))
+_FIRST_NUMBER = r"(?i)(\d+(?:,\d{3})*(?:\.\d+)?)(?:\s*(hundred|thousand|million|billion)\b)?"
 
 
-@query()
-def parse_numbers_whole(t: Tables) -> DataFrame:
-    """``parse_numbers`` over all documents, with scale words and null texts."""
+@query(f"""
+WITH n AS (SELECT doc_id, regexp_extract(text, '{_FIRST_NUMBER}', 1) AS digits, lower(regexp_extract(text, '{_FIRST_NUMBER}', 2)) AS scale FROM documents)
+SELECT doc_id, TRY_CAST(replace(digits, ',', '') AS DOUBLE) * CASE scale WHEN 'hundred' THEN 1e2 WHEN 'thousand' THEN 1e3 WHEN 'million' THEN 1e6 WHEN 'billion' THEN 1e9 ELSE 1 END AS number FROM n
+""")
+def parse_numbers(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", text.parse_number(F.col("text")).alias("number"))
 
 
@@ -58,7 +57,12 @@ def html_links(t: Tables) -> DataFrame:
     return found.distinct()
 
 
-@query()
+@query(r"""
+WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages),
+n AS (SELECT page_id, regexp_replace(trim(href), '#.*$', '') AS link, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)', 1) AS root, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*:)', 1) AS scheme, regexp_replace(regexp_replace(url, '[?#].*$', ''), '([^/])/[^/]*$', '\1') AS folder FROM l),
+r AS (SELECT page_id, CASE WHEN link = '' OR regexp_matches(link, '(?i)^(mailto|javascript|data|tel):') THEN NULL WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN link WHEN starts_with(link, '//') THEN scheme || link WHEN starts_with(link, '/') THEN root || link ELSE folder || '/' || link END AS link FROM n)
+SELECT DISTINCT page_id, link FROM r WHERE page_id IS NOT NULL AND link IS NOT NULL
+""")
 def resolved_links(t: Tables) -> DataFrame:
     links = t.pages.select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href"))
     return links.select("page_id", text.normalise_url(F.col("href"), F.col("url")).alias("link")).dropna().distinct()
@@ -103,13 +107,6 @@ def scalar_arithmetic(t: Tables) -> DataFrame:
     return t.lineitem.select("l_orderkey", "l_linenumber", F.round(w["low"], 4).alias("low"), F.round(w["high"], 4).alias("high"), F.round(maths.fisher_information(F.col("l_quantity"), 4), 9).alias("information"), maths.fuzzy_confidence(F.col("l_quantity") + 50, 85).alias("confidence"))
 
 
-@query("SELECT doc_id, CAST(len(list_filter(list_transform(string_split_regex(text, '\\n+'), lambda x: trim(x)), lambda x: x <> '')) AS INTEGER) AS items FROM documents WHERE NOT regexp_matches(text, '[•*]|(?i)<br')")
+@query(r"SELECT doc_id, CAST(len(list_filter(list_transform(string_split_regex(text, '(?i)<br\s*/?>|[\n•*]+'), lambda x: trim(x)), lambda x: x <> '')) AS INTEGER) AS items FROM documents")
 def list_items(t: Tables) -> DataFrame:
-    plain = t.documents.filter(~F.regexp_like("text", F.lit(r"[•*]|(?i)<br")))
-    return plain.select("doc_id", F.size(text.list_items(F.col("text"))).alias("items"))
-
-
-@query()
-def list_items_whole(t: Tables) -> DataFrame:
-    """``list_items`` over all documents, with bullets, breaks and null texts."""
     return t.documents.select("doc_id", F.size(text.list_items(F.col("text"))).alias("items"))

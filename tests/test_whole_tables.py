@@ -29,7 +29,7 @@ def union_find(edges):
 def test_mention_groups_of_all_orders(spark):
     orders = spark.read.parquet(f"{SF}/orders.parquet").selectExpr("o_orderkey", "o_custkey % 400", "floor(o_totalprice * 100) % 100000").collect()
     of = union_find([(o, k) for o, c, d in orders for k in ((1 << 60) + c, (1 << 61) + d)])
-    got = {tuple(r) for r in registry.queries()["mention_groups_whole"](spark, SF).collect()}
+    got = {tuple(r) for r in registry.queries()["mention_groups"](spark, SF).collect()}
     assert got == {(o, of[o]) for o, _, _ in orders}
 
 
@@ -46,7 +46,7 @@ def bridges_of(edges):
 
 def test_graph_of_all_lineitems(spark):
     edges = opponents(spark)
-    assert {tuple(r) for r in registry.queries()["connected_components_whole"](spark, SF).collect()} == set(union_find(edges).items())
+    assert {tuple(r) for r in registry.queries()["connected_components"](spark, SF).collect()} == set(union_find(edges).items())
     found = bridges_of(edges)
     assert sorted(tuple(r) for r in registry.queries()["bridge_edges"](spark, SF).collect()) == sorted((*e, e in found) for e in edges)
 
@@ -81,8 +81,8 @@ def test_numbers_and_items_of_all_documents(spark, tmp_path):
     docs += [(10**6 + i, t) for i, t in enumerate((None, "", "In 1805, 3 thousand men", "2.5 Million", "1,200 hundred", "a • b * c<br/>d\n\n", "* <BR> x", "7 millions"))]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = lambda name: dict(tuple(r) for r in registry.queries()[name](spark, str(tmp_path)).collect())
-    assert got("parse_numbers_whole") == {i: number(t) for i, t in docs}
-    assert got("list_items_whole") == {i: items(t) for i, t in docs}
+    assert got("parse_numbers") == {i: number(t) for i, t in docs}
+    assert got("list_items") == {i: items(t) for i, t in docs}
 
 
 def test_circles_of_any_length(spark):
