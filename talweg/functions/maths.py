@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from statistics import NormalDist
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -136,3 +137,38 @@ def normalised_weights(weights: Column) -> Column:
     shares = F.transform(weights, lambda w: F.when(total > 0, F.coalesce(w, F.lit(0.0)) / total).otherwise(1.0 / n))
     head = F.slice(shares, 1, F.greatest(n - 1, F.lit(0)))
     return F.when(n == 0, shares).otherwise(F.concat(head, F.array(1.0 - F.aggregate(head, F.lit(0.0), lambda a, w: a + w))))
+
+
+def linear_predictor(score_a: Column, score_b: Column, x_diff: Column, defender_diff: Column, beta_force: Column | float, beta_def: Column | float) -> Column:
+    """Score of A less that of B, plus force and defender terms; null where a part is."""
+    return score_a - score_b + beta_force * x_diff + beta_def * defender_diff
+
+
+def paired_flags(a: Column, b: Column) -> Column:
+    """struct(a, b, status) of two opposite flags as 1 or 0: a lone one fills the other; status both, filled or none (neither stated, or alike)."""
+    one, two = a.cast("int"), b.cast("int")
+    status = F.when(a.isNull() & b.isNull(), "none").when(a.isNull() | b.isNull(), "filled").when(a == b, "none").otherwise("both")
+    return F.struct(F.coalesce(one, 1 - two, F.lit(0)).alias("a"), F.coalesce(two, 1 - one, F.lit(0)).alias("b"), status.alias("status"))
+
+
+def z_for_level(level: float) -> float:
+    """The two-sided normal quantile of a central interval, 1.96 for 0.95."""
+    return NormalDist().inv_cdf(0.5 + level / 2)
+
+
+def stored_or_normal(low: Column, high: Column, mean: Column, sd: Column, z: float) -> Column:
+    """struct(low, high): the stored interval where both ends are, else mean and z times sd either way; null without these."""
+    stored = low.isNotNull() & high.isNotNull()
+    known = mean.isNotNull() & sd.isNotNull()
+    return F.when(stored, F.struct(low.alias("low"), high.alias("high"))).when(known, F.struct((mean - z * sd).alias("low"), (mean + z * sd).alias("high")))
+
+
+def scaled_minimum(n: Column, base_n: int = 20, base_least: int = 12) -> Column:
+    """The least overlap for a list of n, in proportion to that for ``base_n``, rounded up."""
+    return F.ceil(base_least * n / base_n)
+
+
+def call_cost(tokens_in: Column, tokens_out: Column, cached: Column, written: Column, price_in: Column, price_out: Column, read_share: Column, write_share: Column) -> Column:
+    """The price of a call from prices per million tokens; cached input and cache writes at shares of the input price. Null without prices."""
+    fresh = F.greatest(tokens_in - cached, F.lit(0))
+    return (fresh * price_in + cached * price_in * read_share + written * price_in * write_share + tokens_out * price_out) / 1e6

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TOLERANCE = 1e-9
-_THRESHOLD = re.compile(r"^\s*(>=|<=|!=|=|>|<)\s*(-?\d+(?:\.\d+)?(?:[eE]-?\d+)?)\s*$")
+_THRESHOLD = re.compile(r"^\s*(?:p\s+)?(>=|<=|!=|=|>|<)\s*(-?\d+(?:\.\d+)?(?:[eE]-?\d+)?|true|false)\s*$", re.IGNORECASE)
 
 
 @dataclass(frozen=True)
@@ -30,13 +30,13 @@ class Gate:
 
 
 def parse_threshold(raw: str, params: Mapping[str, float] | None = None) -> tuple[str, float]:
-    """("<=", 0.05) from "<= 0.05" or "<= {params.limit}"."""
+    """("<=", 0.05) from "<= 0.05", "p <= 0.05" or "<= {params.limit}"; "= true" and "= false" compare with 1 and 0."""
     for name, value in (params or {}).items():
         raw = raw.replace("{params." + name + "}", str(value))
     found = _THRESHOLD.match(raw)
     if not found:
         raise ValueError(f"not a threshold: {raw}")
-    return found[1], float(found[2])
+    return found[1], {"true": 1.0, "false": 0.0}.get(found[2].lower()) if found[2].isalpha() else float(found[2])
 
 
 def passes(actual: Column, op: str, limit: float) -> Column:

@@ -15,7 +15,7 @@ from talweg.catalog import Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "actor_credit_ranking"
-MODULES = ("aggregation", "claims", "credit", "evaluations", "identity", "joins", "scalars", "statistics", "windows", "writes")
+MODULES = ("aggregation", "claims", "credit", "evaluations", "identity", "joins", "reports", "scalars", "statistics", "texts", "windows", "writes")
 
 _found: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {}
 
