@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -10,11 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one set here where that is unset."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a session of one machine (``local[...]``, as in tests)
+    gets a temporary folder; a cluster, whose executors couldn't read it, raises.
+    """
+    context = spark.sparkContext
+    at = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not at:
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", "talweg")
-        spark.sparkContext.setCheckpointDir(at)
+        context.setCheckpointDir(at)
     return at.rstrip("/")
 
 

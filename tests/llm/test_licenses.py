@@ -50,3 +50,38 @@ def test_edge_cases(spark):
 def test_longest_chain():
     assert licenses.longest_chain([(5, 0), (6, 1), (9, 2), (1, 9)]) == (3, 5, 9)
     assert licenses.longest_chain([(5, 0), (5, 1)])[0] == 1
+
+
+def plain_spans(text):
+    """(label, coverage) of each verified notice, by comparing words."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    out = []
+    for label, notices in licenses.NOTICES.items():
+        for notice in notices:
+            want = re.findall(r"[a-z0-9]+", notice.lower())
+            indexed = [i for i in range(len(want) - 1) if not {*want[i : i + 2]} <= licenses.COMMON]
+            hits = [(p, i) for i in indexed for p in range(len(words) - 1) if words[p : p + 2] == want[i : i + 2]]
+            runs = []
+            for d in sorted({p - i for p, i in hits}):
+                if runs and d - runs[-1][-1] <= 3:
+                    runs[-1].append(d)
+                else:
+                    runs.append([d])
+            for run in runs:
+                some = sorted(h for h in hits if h[0] - h[1] in run)
+                if len({i for _, i in some}) < 0.75 * len(indexed):
+                    continue
+                n, first, last = licenses.longest_chain(some)
+                if n >= 0.75 * len(indexed) and last - first < 2 * (len(indexed) + 2):
+                    out.append((label, n / len(indexed)))
+    return out
+
+
+def test_labels_and_scores_match_plain_comparison(spark):
+    got = {r["doc_id"]: r for r in op6_diagonal_license_scan(spark, SF).collect()}
+    for d in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        base = brute(d["text"])
+        found = plain_spans(d["text"])
+        labels = {x for x, _ in found} | {*base[4].split(",")} - {""}
+        assert got[d["doc_id"]]["labels"] == ",".join(sorted(labels))
+        assert got[d["doc_id"]]["score"] == max([c for _, c in found] + [1.0] * bool(base[1]), default=0.0)

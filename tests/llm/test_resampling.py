@@ -1,8 +1,13 @@
+import math
+import re
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from talweg.llm import resampling
+from talweg.llm.words import Words, mix
 
 SF = "/root/testdata/sf0.01"
 
@@ -58,3 +63,46 @@ def test_edge_cases(spark):
     assert 4 in {r["doc_id"] for r in kept.collect()} and 5 not in {r["doc_id"] for r in kept.collect()}
     assert resampling.resample(docs.limit(0), labels).count() == 0
     assert resampling.resample(docs.limit(0), labels, columns=True).count() == 0
+
+
+def plain_features(text):
+    """Buckets of a text's n-grams, word by word."""
+    half = resampling.BUCKETS // 2
+    m = (1 << 64) - 1
+    mixed = lambda x: int(mix(np.array([x & m], np.uint64))[0])
+    raw = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())
+    words, shapes, out = [], [], []
+    for i, w in enumerate(raw):
+        h = int(Words(pa.array([w.decode()])).hash[0])
+        upper, digits = sum(65 <= b <= 90 for b in w), sum(48 <= b <= 57 for b in w)
+        marks = sum(33 <= b < 48 or 58 <= b < 65 or 91 <= b < 97 or 123 <= b < 127 for b in w)
+        last = w[-1] if 33 <= w[-1] < 48 or 58 <= w[-1] < 65 or 91 <= w[-1] < 97 or 123 <= w[-1] < 127 else 0
+        again = sum(1 << (k - 1) for k in (1, 2, 3, 4) if i >= k and words[i - k] == h)
+        shape = mixed(min(upper, 2) + 3 * (upper + marks + digits >= len(w)) + 6 * min(marks, 3) + 24 * min(digits, 2) + 72 * last + 100_000 * again + 1)
+        before = lambda x, k: x[i - k] if i >= k else k  # noqa: B023, E731
+        words.append(h)
+        shapes.append(shape)
+        out += [h % half, mixed(h + before(words, 1) * 3) % half, shape % half + half, mixed(shape + before(shapes, 1) * 3) % half + half, mixed(shape + before(shapes, 1) * 3 + before(shapes, 2) * 7) % half + half]
+    return out
+
+
+def test_scores_and_rows_match_plain_recomputation(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect() if len(r[1] or "") < 4000]
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    quality = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    grams = {i: plain_features(t) for i, t in rows}
+    raw, good = [1] * resampling.BUCKETS, [1] * resampling.BUCKETS
+    for i, g in grams.items():
+        for b in g:
+            raw[b] += 1
+            good[b] += quality.get(i) == 1
+    weight = {i: sum(math.log(good[b] / sum(good)) - math.log(raw[b] / sum(raw)) for b in {*g} for _ in range(g.count(b))) if g else 0.0 for i, g in grams.items() if len(g) < 400}
+    got = {r["id"]: r for r in resampling.resample(spark.createDataFrame(rows, "doc_id long, text string"), labels, share=1.0).collect()}
+    assert set(got) == set(grams)
+    for i, w in weight.items():
+        assert got[i]["log_weight"] == pytest.approx(w, abs=1e-6)
+        assert got[i]["noisy"] == pytest.approx(got[i]["log_weight"] + resampling.noise(np.array([i]), 20240229)[0])
+    for share in (0.3, 0.75):
+        kept = {r["id"] for r in resampling.resample(spark.createDataFrame(rows, "doc_id long, text string"), labels, share=share).collect()}
+        assert kept == {*sorted(got, key=lambda i: -got[i]["noisy"])[: math.floor(share * len(rows) + 0.5)]}
