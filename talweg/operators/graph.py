@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 import pandas as pd
@@ -11,9 +12,11 @@ from pyspark.sql import functions as F
 
 
 def _checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that ``spark.checkpoint.dir`` names, or in a temporary one where that is unset."""
+    """Cut the lineage in the folder that ``spark.checkpoint.dir`` names; where that is unset, in a temporary one if all runs on one machine."""
     context = df.sparkSession.sparkContext
     if not (context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()):
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir("file://" + os.path.join(tempfile.gettempdir(), "checkpoints", "talweg"))
     return df.checkpoint()
 
