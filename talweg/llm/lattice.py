@@ -16,13 +16,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from talweg.llm.common import written
 from talweg.llm.words import BASE, Words, filled, mix, signed, slices
+from talweg.llm.words import parts as cut
 
 #: A piece's leading mark of a word's beginning, as one byte that no word holds.
 SPACE = 0x20
@@ -212,41 +212,55 @@ COUNTS = "block int, key long, n double, first boolean"
 def word_counts(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     """What the corpus teaches, as (block, key, n, first).
 
-    For each block (a task's documents) and distinct word: the word's hash and
-    its count in all training text; ``first`` marks one row per word. Block -1
-    holds expected piece counts, to be summed by key. ``docs``: id, text, held_out.
+    For each block of documents and distinct word: the word's hash and its count
+    in all training text; ``first`` marks one row per word. A block that several
+    tasks read has a row for each of them. Block -1 holds expected piece counts,
+    to be summed by key. ``docs``: text, held_out, block.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary.load(vocabulary_path)
         with np.errstate(divide="ignore"):
             log_p = np.append(np.log(vocabulary.start[:-1]), -np.inf)
-        block = TaskContext.get().partitionId()
         pieces = np.zeros(len(log_p))
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        ends = 0
-        for batch in batches:
-            train = ~batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            parts, distinct, places = _distinct(filled(batch.column(1)))
-            n = np.zeros(len(distinct), np.int64)
-            for at, to, w, each in parts:
-                mine = np.repeat(train[at:to], w.n)
-                n += np.bincount(each[mine], minlength=len(distinct))
-            ends += int(train.sum())
-            for i, at, among in places:
-                live = n[among] > 0
-                w = parts[i][2]
-                for rows, chars in by_length(w.body, w.start[at[live]], w.end[at[live]]):
-                    Lattice(vocabulary, chars).expected(log_p, n[among[live]][rows].astype(float), pieces)
-            held.append((distinct, n))
-        keys, each = np.unique(np.concatenate([h for h, _ in held]) if held else np.empty(0, np.uint64), return_inverse=True)
-        n = np.bincount(each, np.concatenate([c for _, c in held]) if held else None, len(keys)).astype(float)
+        ends, block = 0, -1
+
+        def rows(block: int, keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            size = len(keys)
+            yield from cut(pa.RecordBatch.from_arrays([pa.array(np.full(size, block, np.int32)), pa.array(keys.astype(np.int64)), pa.array(n), pa.array(np.zeros(size, bool))], names=["block", "key", "n", "first"]))
+
+        def told() -> Iterator[pa.RecordBatch]:
+            keys, each = np.unique(np.concatenate([h for h, _ in held]) if held else np.empty(0, np.uint64), return_inverse=True)
+            yield from rows(block, signed(keys), np.bincount(each, np.concatenate([c for _, c in held]) if held else None, len(keys)).astype(float))
+
+        for whole in batches:
+            of = whole.column(2).to_numpy()
+            edges = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1), len(of)] if len(of) else [0]
+            for low, high in zip(edges, edges[1:], strict=False):
+                if of[low] != block:
+                    if held:
+                        yield from told()
+                    held, block = [], int(of[low])
+                batch = whole.slice(low, high - low)
+                train = ~batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+                parts, distinct, places = _distinct(filled(batch.column(0)))
+                n = np.zeros(len(distinct), np.int64)
+                for at, to, w, each in parts:
+                    mine = np.repeat(train[at:to], w.n)
+                    n += np.bincount(each[mine], minlength=len(distinct))
+                ends += int(train.sum())
+                for i, at, among in places:
+                    live = n[among] > 0
+                    w = parts[i][2]
+                    for some, chars in by_length(w.body, w.start[at[live]], w.end[at[live]]):
+                        Lattice(vocabulary, chars).expected(log_p, n[among[live]][some].astype(float), pieces)
+                held.append((distinct, n))
+        if held:
+            yield from told()
         pieces[-1] = ends
         some = np.flatnonzero(pieces)
-        for block_here, k, v in ((block, signed(keys), n), (-1, some, pieces[some])):
-            for i in range(0, len(k), 200_000):
-                part = k[i : i + 200_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block_here, np.int32)), pa.array(part.astype(np.int64)), pa.array(v[i : i + 200_000]), pa.array(np.zeros(len(part), bool))], names=["block", "key", "n", "first"])
+        yield from rows(-1, some, pieces[some])
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns[:3]] for b in batches]
@@ -281,13 +295,14 @@ def score(docs: DataFrame, *, vocabulary_path: str, id_col: str = "doc_id", text
     repeated rows train and score each; with no training text N = V = 0; an
     empty table gives no rows; other columns are not looked at.
 
-    Blocks are the input's own partitions, so ``docs`` must give the same
-    partitions each time it is read, as files do; a word that its block's
-    counts lack raises.
+    Blocks are the input's partitions as first read; rows are written with
+    their block's number, so that a later read, or one after a lost executor,
+    finds the same blocks however the input is dealt.
     """
     text_id = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (F.crc32(F.encode(text_id, "UTF-8")) % 5 == 1).alias("held_out"))
-    counts = written(word_counts(base, vocabulary_path))
+    base = written(base.withColumn("block", F.spark_partition_id()))
+    counts = written(word_counts(base.select("text", "held_out", "block"), vocabulary_path))
     words = counts.filter("block >= 0")
     found = words.filter("first").agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
     vocabulary = Vocabulary.load(vocabulary_path)
@@ -312,7 +327,7 @@ def score(docs: DataFrame, *, vocabulary_path: str, id_col: str = "doc_id", text
         parts, distinct, places = _distinct(texts)
         at = np.minimum(np.searchsorted(keys, distinct), max(0, len(keys) - 1))
         if len(distinct) and (not len(keys) or (keys[at] != distinct).any()):
-            raise RuntimeError("the input's partitions changed between two reads; write it to a table first")
+            raise RuntimeError("a block's words are not among its counts")
         c = n[at] if len(distinct) else np.empty(0)
         per_word = np.stack([np.log10(c + 0.5), (c > 0).astype(float), marginals(vocabulary, log_p, parts, len(distinct), places) / np.log(10)])
         sums = np.zeros((3, len(texts)))
@@ -327,5 +342,4 @@ def score(docs: DataFrame, *, vocabulary_path: str, id_col: str = "doc_id", text
             pa.array(np.full(len(texts), n_train)), pa.array(sums[0] + np.log10(ends + 0.5) - tokens * floor), pa.array(sums[2] + log_end / np.log(10)),
         ], names=schema.names)
 
-    dealt = base.withColumn("block", F.spark_partition_id())
-    return dealt.groupBy("block").cogroup(words.select("block", "key", "n").groupBy("block")).applyInArrow(rate, schema)
+    return base.groupBy("block").cogroup(words.select("block", "key", "n").groupBy("block")).applyInArrow(rate, schema)
