@@ -21,11 +21,11 @@ SELECT l_suppkey, n, credit, rank, n >= 3 AS headline FROM r
 """)
 def actor_credit_ranking(t: Tables) -> DataFrame:
     value = t.lineitem.groupBy("l_orderkey", "l_suppkey").agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("value"), F.sum("l_quantity").alias("q"))
-    mean = value.agg(F.avg("q")).first()[0]  # one number
-    share = windows.with_share(value, ["l_orderkey"], "value")
+    mean = value.agg(F.avg("q").alias("mean"))  # one row
+    share = windows.with_share(value, ["l_orderkey"], "value").join(F.broadcast(mean), F.lit(True))
     score = F.when(F.col("o_orderstatus") == "F", 1.0).when(F.col("o_orderstatus") == "O", 0.0).otherwise(0.5)
     told = share.join(t.orders.select("o_orderkey", "o_orderstatus"), F.col("o_orderkey") == F.col("l_orderkey"))
-    totals = told.withColumn("c", F.col("share") * (score - ordinal.sigmoid(F.log(F.col("q") / F.lit(mean))))).groupBy("l_suppkey").agg(F.count("*").alias("n"), F.round(F.sum("c"), 6).alias("credit"))
+    totals = told.withColumn("c", F.col("share") * (score - ordinal.sigmoid(F.log(F.col("q") / F.col("mean"))))).groupBy("l_suppkey").agg(F.count("*").alias("n"), F.round(F.sum("c"), 6).alias("credit"))
     return credit.ranking(totals, "l_suppkey", "credit", "n", 3).select("l_suppkey", "n", "credit", "rank", "headline")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talweg.catalog import Tables
@@ -39,10 +39,16 @@ SELECT doc_id, string_agg(tag, ',' ORDER BY k) AS tags FROM r WHERE k <= 3 GROUP
 """)
 def terrain_tags(t: Tables) -> DataFrame:
     vocabulary = (("forest", "the"), ("river", "and"), ("hill", "sch"), ("coast", "que"))
-    low = F.lower("text")
-    found = F.array(*[F.struct((-F.regexp_count(low, F.lit(p))).alias("n"), F.lit(i).alias("i"), F.lit(tag).alias("tag"), F.regexp_count(F.substring(low, 1, 1500), F.lit(p)).alias("lead")) for i, (tag, p) in enumerate(vocabulary)])
-    best = F.slice(F.array_sort(F.filter(found, lambda x: (x["lead"] >= 1) | (x["n"] <= -3))), 1, 3)
-    return t.documents.select("doc_id", F.array_join(F.transform(best, lambda x: x["tag"]), ",").alias("tags")).filter("tags <> ''")
+
+    def tags(low: Column) -> Column:
+        lead = F.substring(low, 1, 1500)
+        found = F.array(*[F.struct((-F.regexp_count(low, F.lit(p))).alias("n"), F.lit(i).alias("i"), F.lit(tag).alias("tag"), F.regexp_count(lead, F.lit(p)).alias("lead")) for i, (tag, p) in enumerate(vocabulary)])
+        best = F.slice(F.array_sort(F.filter(found, lambda x: (x["lead"] >= 1) | (x["n"] <= -3))), 1, 3)
+        return F.array_join(F.transform(best, lambda x: x["tag"]), ",")
+
+    # exploded rather than filtered: a filter would be moved below the projection and count everything again
+    told = F.transform(F.array(F.lower("text")), tags)
+    return t.documents.select("doc_id", F.explode(F.filter(told, lambda x: x != "")).alias("tags"))
 
 
 @query(r"SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)', 1)) AS host, regexp_matches(lower(regexp_extract(url, '://([^/:?#]+)', 1)), '(^|\.)(com|org)$') AS allowed FROM pages")
