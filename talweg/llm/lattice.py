@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talweg.llm.common import written
+from talweg.llm.common import mapped, written
 from talweg.llm.words import BASE, Words, filled, mix, signed, slices
 from talweg.llm.words import parts as cut
 
@@ -280,7 +280,7 @@ def word_counts(docs: DataFrame, vocabulary_path: str) -> DataFrame:
                 to = i + 200_000
                 yield pa.RecordBatch.from_arrays([pa.array(block[mine][i:to]), pa.array(key[mine][i:to]), pa.array(sums[each[i:to]]), pa.array(first[i:to])], names=["block", "key", "n", "first"])
 
-    return docs.mapInArrow(count, COUNTS).repartition("key").mapInArrow(total, COUNTS)
+    return mapped(mapped(docs, count, COUNTS).repartition("key"), total, COUNTS)
 
 
 def score(docs: DataFrame, *, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

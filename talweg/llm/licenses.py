@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from talweg.llm.common import mapped
 from talweg.llm.words import NOT_ALNUM, Words, filled, signed, slices
 
 #: Phrases that count wherever their words stand consecutively.
@@ -114,7 +115,7 @@ def document_grams(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(marks, pa.binary()), pa.array(w.n.astype(np.int64)), lists], names=["id", "mark", "n_words", "grams"])
 
     schema = rows.select("id").schema.add("mark", T.BinaryType()).add("n_words", T.LongType()).add("grams", T.ArrayType(T.LongType()))
-    return rows.mapInArrow(scan, schema)
+    return mapped(rows, scan, schema)
 
 
 def matches(grams: DataFrame, templates: DataFrame, *, gap: int = 3, least: float = 0.75) -> DataFrame:

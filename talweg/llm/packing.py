@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from talweg.llm.bpe import encoder
-from talweg.llm.common import written
+from talweg.llm.common import mapped, written
 from talweg.llm.words import filled
 
 #: A pattern (lengths in the order in which they stand in a sequence) and how often it is used.
@@ -166,7 +166,7 @@ def pieces(docs: DataFrame, *, id_col: str, text_col: str, path: str, ranks_path
                     out.append(pa.array(rows[7], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(out, names=schema.names)
 
-    return docs.select(id_col, text_col).mapInArrow(cut, schema)
+    return mapped(docs.select(id_col, text_col), cut, schema)
 
 
 def pack(
@@ -220,4 +220,4 @@ def pack(
             kept = [batch.column(batch.schema.get_field_index(n)) for n in names if n != "ids"]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(seq), pa.array(at), *(batch.column(batch.schema.get_field_index(n)) for n in ids)], names=schema.names)
 
-    return ranked.mapInArrow(seat, schema)
+    return mapped(ranked, seat, schema)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talweg.llm.common import written
+from talweg.llm.common import mapped, written
 from talweg.llm.words import Words, filled, mix, slices
 
 BUCKETS = 1 << 15
@@ -108,7 +108,7 @@ def fit(docs: DataFrame, good: DataFrame, *, id_col: str, text_col: str, most_la
         some = np.flatnonzero(counts[0])
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(c[some]) for c in counts)], names=["bucket", "raw", "target"])
 
-    counted = docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(count, "bucket int, raw long, target long")
+    counted = mapped(docs.select(F.col(id_col).cast("long"), text_col), count, "bucket int, raw long, target long")
     raw, aimed = np.ones(BUCKETS), np.ones(BUCKETS)  # add-one smoothing
     for r in counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect():  # BUCKETS rows at most
         raw[r["bucket"]] += r["raw"]
@@ -134,7 +134,7 @@ def scored(docs: DataFrame, ratio: np.ndarray, *, id_col: str, text_col: str, se
                 place = np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(weight), pa.array(noisy), pa.array(place), batch.column(2).slice(at, to - at)], names=schema.names)
 
-    return rows.mapInArrow(score, schema)
+    return mapped(rows, score, schema)
 
 
 def best_cut(weights: list[float], good: list[bool]) -> float:

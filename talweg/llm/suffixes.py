@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talweg.llm.common import partitions, written
+from talweg.llm.common import mapped, partitions, written
 from talweg.llm.words import Words, filled, mix, parts, signed, slices
 
 #: k, w and the least words of a passage; k + w - 1 < MIN_WORDS, so that every passage retains a suffix.
@@ -124,8 +124,8 @@ def shared_suffixes(docs: DataFrame, k: int, w: int, step: int) -> DataFrame:
         yield from parts(pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (ids, key, pos, last)], names=["id", "key", "pos", "last"]))
 
     # a common k-gram sends one row a task to its place; its other rows go by document
-    dealt = docs.mapInArrow(retain, "key long, id long, pos int, last int, kind byte").repartition(F.when(F.col("kind") == 2, F.xxhash64("id", "pos")).otherwise(F.col("key")))
-    return dealt.mapInArrow(share, "id long, key long, pos int, last int")
+    dealt = mapped(docs, retain, "key long, id long, pos int, last int, kind byte").repartition(F.when(F.col("kind") == 2, F.xxhash64("id", "pos")).otherwise(F.col("key")))
+    return mapped(dealt, share, "id long, key long, pos int, last int")
 
 
 def _fixed(rows: np.ndarray) -> pa.Array:
@@ -177,7 +177,7 @@ def contexts(docs: DataFrame, suffixes: DataFrame, k: int, min_words: int) -> Da
                     )
 
     places = suffixes.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "last", "key"))).alias("places"))
-    return docs.join(places.hint("merge"), "id").select("id", "text", "places").mapInArrow(cut, CONTEXT)
+    return mapped(docs.join(places.hint("merge"), "id").select("id", "text", "places"), cut, CONTEXT)
 
 
 MATCH = "id long, start int, end int, earlier boolean"
@@ -343,7 +343,7 @@ def matches(suffixes: DataFrame, min_words: int) -> DataFrame:
                 columns = [pa.StructArray.from_arrays(b.columns, fields=list(b.schema)) if kind == n else pa.nulls(b.num_rows, t) for n, t in types.items()]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, task, np.int32)), *columns], names=["task", *types])
 
-    every = written(array.mapInArrow(each, schema))
+    every = written(mapped(array, each, schema))
     inner = every.filter("match is not null").select("match.*")
     ends = every.filter("end is not null").groupBy("end.hash").agg(F.min("end.low").alias("low"), F.max("end.high").alias("high"), F.collect_list(F.struct("task", F.col("end.low").alias("own"), F.col("end.high").alias("last"))).alias("tasks"))
     # a task that has the smallest id and another one knows all of its matches
@@ -373,7 +373,7 @@ def passages(matched: DataFrame) -> DataFrame:
             yield _ranges([last])
 
     dealt = matched.select("id", "start", "end").distinct().repartition("id").sortWithinPartitions("id", "start")
-    return dealt.mapInArrow(join, "id long, start int, end int")
+    return mapped(dealt, join, "id long, start int, end int")
 
 
 def _ranges(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
@@ -429,7 +429,7 @@ def without(docs: DataFrame, ranges: DataFrame, *, id_col: str = "doc_id", text_
                 left.append(rest)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), pa.array(left, pa.int64())], names=["doc", "text", "left"])
 
-    done = joined.mapInArrow(cut, schema).filter("left <> 0")
+    done = mapped(joined, cut, schema).filter("left <> 0")
     values = {c: F.col("doc").getField(c) for c in names} | {text_col: F.col("text")}
     if chars_col:
         values[chars_col] = F.when(F.col("left") > 0, F.length("text")).otherwise(F.col("doc").getField(chars_col)).cast(docs.schema[chars_col].dataType)
