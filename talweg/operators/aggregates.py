@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -54,6 +55,48 @@ def spread_ratio(a: str, b: str) -> Column:
     return F.try_divide(F.stddev_pop(a), F.nullif(F.stddev_pop(b), F.lit(0.0)))
 
 
+def whole_quantile(df: DataFrame, value: Column, share: float, bins: int = 4096) -> float | None:
+    """The exact quantile of all rows, linear between neighbours; null without a value, NaN above all.
+
+    Each pass counts the values of ``bins`` equal ranges and goes on in the one
+    that has the wanted place, so that no task and no buffer holds all values.
+    """
+    held = df.select(value.cast("double").alias("v")).filter("v is not null")
+    finite = ~F.isnan("v") & (F.abs("v") != float("inf"))
+    n, low, high, n_low, n_high, n_nan = held.agg(
+        F.count("*"), F.min(F.when(finite, F.col("v"))), F.max(F.when(finite, F.col("v"))), F.count_if(F.col("v") == float("-inf")), F.count_if(F.col("v") == float("inf")), F.count_if(F.isnan("v"))
+    ).first()
+    if not n:
+        return None
+    place = share * (n - 1)
+    want, then = math.floor(place), math.ceil(place)
+
+    def at(r: int) -> float:
+        """The value at a place, from 0."""
+        if r >= n - n_nan:
+            return math.nan
+        if r >= n - n_nan - n_high:
+            return math.inf
+        if r < n_low:
+            return -math.inf
+        r, a, b = r - n_low, low, high
+        while a < b:
+            # halves, as the width of all doubles overflows
+            part = F.least(F.floor((F.col("v") / 2 - a / 2) / (b / 2 - a / 2) * bins), F.lit(bins - 1)) if b / 2 > a / 2 else F.when(F.col("v") > a, 1).otherwise(0)
+            rows = held.filter(finite & F.col("v").between(a, b)).groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).collect()  # a row per range
+            for row in sorted(rows, key=lambda x: x["part"]):
+                if r < row["n"]:
+                    a, b = row["a"], row["b"]
+                    break
+                r -= row["n"]
+        return a
+
+    below = at(want)
+    if want == then:
+        return below
+    return (then - place) * below + (place - want) * at(then)
+
+
 def median_abs_deviation(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Median and median absolute deviation of each group."""
     mid = df.withColumn("__m", F.median(value).over(Window.partitionBy(*keys)))

@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from talweg.operators import aggregates
+
 TOLERANCE = 1e-9
 _THRESHOLD = re.compile(r"^\s*(?:p\s+)?(>=|<=|!=|=|>|<)\s*(-?\d+(?:\.\d+)?(?:[eE]-?\d+)?|true|false)\s*$", re.IGNORECASE)
 
@@ -56,6 +58,11 @@ def share(df: DataFrame, cond: Column, empty: float | None = None) -> DataFrame:
     return df.agg((out if empty is None else F.coalesce(out, F.lit(empty))).alias("actual"))
 
 
+def whole_quantile(df: DataFrame, value: Column, share: float) -> DataFrame:
+    """The exact quantile of all rows as a measure; it is found ahead, in passes that count ranges."""
+    return df.sparkSession.range(1).select(F.lit(aggregates.whole_quantile(df, value, share)).cast("double").alias("actual"))
+
+
 def newest_json(runs: DataFrame, kind: str, path: str, missing: float | None = None, where: Column | None = None) -> DataFrame:
     """A number from the diagnostics of the newest completed run of a kind."""
     some = runs.filter((F.col("model_type") == kind) & F.col("completed_at").isNotNull())
