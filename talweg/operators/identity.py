@@ -87,11 +87,19 @@ def covers(mention: Column, target: Column) -> Column:
 
 
 def similar_pairs(df: DataFrame, id_col: str, name: str, block: Sequence[str], least: float) -> DataFrame:
-    """(a, b, score) with a < b of one block whose names reach a similarity."""
-    left = df.select(*block, F.col(id_col).alias("a"), F.col(name).alias("x"))
-    right = df.select(*block, F.col(id_col).alias("b"), F.col(name).alias("y"))
-    both = left.join(right, list(block)).filter("a < b").withColumn("score", text.levenshtein_ratio(F.col("x"), F.col("y")))
-    return both.filter(F.col("score") >= least).select("a", "b", "score")
+    """(a, b, score) with a < b of one block whose names reach a similarity.
+
+    Distinct names of a block are compared, each pair once and only as far as
+    ``least`` allows; rows meet through the pairs of names that reach it.
+    """
+    keys = [f"__{i}" for i in range(len(block))]
+    rows = df.select(*[F.col(c).alias(k) for c, k in zip(block, keys, strict=True)], F.col(id_col).alias("id"), F.col(name).alias("x")).filter(F.col("x").isNotNull())
+    names = rows.select(*keys, "x").distinct()
+    both = names.join(names.withColumnRenamed("x", "y"), keys).filter("x <= y")
+    edits = (F.greatest(F.length("x"), F.length("y")) * (1 - least / 100) + 1).cast("int")  # one more than any pair that reaches ``least`` has
+    near = both.withColumn("__edits", edits).filter("levenshtein(x, y, __edits) >= 0").withColumn("score", text.levenshtein_ratio(F.col("x"), F.col("y"))).filter(F.col("score") >= least)
+    met = near.join(rows.withColumnRenamed("id", "a"), [*keys, "x"]).join(rows.select(*keys, F.col("id").alias("b"), F.col("x").alias("y")), [*keys, "y"])
+    return met.filter("x < y and a <> b or a < b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score")
 
 
 def first_rows(df: DataFrame, group: str, n: int, *order: Column) -> DataFrame:
