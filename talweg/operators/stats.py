@@ -6,11 +6,10 @@ for a sampled model its name says so.
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -50,29 +49,32 @@ def responsibility(value: Column, fit: dict[str, float]) -> Column:
     return F.coalesce(F.try_divide(fit["weight"] * a, F.nullif(fit["weight"] * a + (1 - fit["weight"]) * b, F.lit(0.0))), F.when(value.isNotNull(), 0.5))
 
 
+def _normal(*keys: Column) -> Column:
+    """A standard normal value that depends on its keys alone (Box and Muller, from two hashes)."""
+    part: Callable[[int], Column] = lambda k: (F.shiftrightunsigned(F.xxhash64(*keys, F.lit(k)), 11) + 0.5) / float(1 << 53)
+    return F.sqrt(-2 * F.log(part(0))) * F.cos(2 * math.pi * part(1))
+
+
 def conditional_draws(sides: DataFrame, event: str, side: str, mean: str, known: str, tau: float, sigma: float, rounds: int, seed: int) -> DataFrame:
     """(round, event, side, value): missing values drawn given the known ones of their event.
 
     Values of an event share a normal effect (sd ``tau``) and have their own
     deviation (sd ``sigma``) about their means. Given the known ones, the shared
-    effect and each missing value follow in closed form. Seeds depend on the
-    round and event alone, so that a task that runs again draws the same.
+    effect and each missing value follow in closed form. Draws depend on the
+    seed, the round, the event and the side's place in it alone, so that a task
+    that runs again draws the same. NaN counts as missing; a missing mean leaves
+    what depends on it null.
     """
-    every = sides.select(event, side, mean, known, F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"))
-    id_type, side_type = sides.schema[event].dataType.simpleString(), sides.schema[side].dataType.simpleString()
-
-    def draw(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(side)
-        rng = np.random.default_rng([seed, int(group["round"].iloc[0]), zlib.crc32(str(group[event].iloc[0]).encode())])
-        mu, got = group[mean].to_numpy(float), group[known].to_numpy(float)
-        seen = ~np.isnan(got)
-        precision = 1 / tau**2 + seen.sum() / sigma**2
-        centre = ((got - mu)[seen].sum() / sigma**2) / precision
-        effect = centre + rng.normal() / np.sqrt(precision)
-        value = np.where(seen, got, mu + effect + sigma * rng.normal(size=len(mu)))
-        return pd.DataFrame({"round": group["round"].astype("int32"), event: group[event], side: group[side], "value": value})
-
-    return every.groupBy("round", event).applyInPandas(draw, f"round int, {event} {id_type}, {side} {side_type}, value double")
+    of = Window.partitionBy(event)
+    got, mu = F.nanvl(F.col(known).cast("double"), F.lit(None).cast("double")), F.coalesce(F.col(mean).cast("double"), F.lit(math.nan))
+    told = sides.select(event, side, mu.alias("__mu"), got.alias("__got"), F.row_number().over(of.orderBy(side, mean, known)).alias("__i"))
+    told = told.withColumn("__n", F.count("__got").over(of)).withColumn("__s", F.coalesce(F.sum(F.col("__got") - F.col("__mu")).over(of), F.lit(0.0)))
+    every = told.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
+    precision = 1 / tau**2 + F.col("__n") / sigma**2
+    drawn: Callable[[Column], Column] = lambda place: _normal(F.lit(seed), F.col("round"), F.col(event), place)
+    effect = F.col("__s") / sigma**2 / precision + drawn(F.lit(0)) / F.sqrt(precision)
+    value = F.coalesce("__got", F.nanvl(F.col("__mu") + effect + sigma * drawn(F.col("__i")), F.lit(None).cast("double")))
+    return every.select("round", event, side, value.alias("value"))
 
 
 def shifted_if_missing(value: Column, imputed: Column, not_at_random: Column, delta: float) -> Column:
