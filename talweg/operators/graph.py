@@ -5,13 +5,15 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage in the folder that ``spark.checkpoint.dir`` names; where that is unset, in a temporary one if all runs on one machine."""
     context = df.sparkSession.sparkContext
     if not (context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()):
@@ -29,13 +31,13 @@ def components(edges: DataFrame) -> DataFrame:
     """
     ends = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).dropna().distinct()
     found = ends.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node"))
-    live = _checkpointed(ends.filter("a <> b"))
+    live = checkpointed(ends.filter("a <> b"))
     while not live.isEmpty():
         both = live.union(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        to = _checkpointed(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to")))
+        to = checkpointed(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to")))
         moved = live.join(to, "a").select(F.col("to").alias("a"), "b").join(to.withColumnRenamed("a", "b"), "b").select(F.least("a", "to").alias("a"), F.greatest("a", "to").alias("b"))
-        live = _checkpointed(moved.filter("a <> b").distinct())
-        found = _checkpointed(found.join(to.withColumnRenamed("a", "component"), "component", "left").select("node", F.coalesce("to", "component").alias("component")))
+        live = checkpointed(moved.filter("a <> b").distinct())
+        found = checkpointed(found.join(to.withColumnRenamed("a", "component"), "component", "left").select("node", F.coalesce("to", "component").alias("component")))
     return found
 
 
@@ -96,10 +98,28 @@ def _certificate(ends: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def bridges(edges: DataFrame, block: int = 1 << 17) -> DataFrame:
     """(a, b): edges that are the only link between their ends.
 
-    Components of more than ``block`` edges are reduced in blocks to two edges a
-    node at most, which keep all bridges; then one task holds one component.
+    Edges in order of their smaller end are reduced in blocks to two edges a node
+    at most, which keep all bridges and components, then components of more than
+    ``block`` edges likewise; at last one task holds one component.
     """
     ends = edges.select(F.least("a", "b").cast("long").alias("a"), F.greatest("a", "b").cast("long").alias("b")).filter("a <> b").distinct()
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def left() -> pa.RecordBatch:
+            kept = _certificate([e for h in held for e in zip(h.column(0).to_pylist(), h.column(1).to_pylist(), strict=True)])
+            return pa.RecordBatch.from_arrays([pa.array([e[k] for e in kept], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            held.append(batch)
+            if sum(h.num_rows for h in held) >= 2 * block:
+                yield left()
+                held = []
+        if held:
+            yield left()
+
+    ends = checkpointed(ends.repartitionByRange("a").sortWithinPartitions("a", "b").mapInArrow(thin, "a long, b long"))
     of = components(ends).select(F.col("node").alias("a"), "component")
 
     def reduce(group: pd.DataFrame) -> pd.DataFrame:
@@ -113,14 +133,14 @@ def bridges(edges: DataFrame, block: int = 1 << 17) -> DataFrame:
             nodes.setdefault(b, []).append(a)
         return pd.DataFrame(_bridges(nodes), columns=["a", "b"]).astype("int64")
 
-    live = _checkpointed(ends.join(of, "a").select("a", "b", F.col("component").cast("long").alias("component")))
+    live = checkpointed(ends.join(of, "a").select("a", "b", F.col("component").cast("long").alias("component")))
     held, turn = live.count(), 0
     while True:
         large = live.groupBy("component").agg(F.ceil(F.count("*") / block).alias("blocks")).filter("blocks > 1")
         if large.isEmpty():
             break
         dealt = live.join(large, "component", "left").withColumn("block", F.pmod(F.xxhash64("a", "b", F.lit(turn)), F.coalesce("blocks", F.lit(1))))
-        live = _checkpointed(dealt.filter("blocks > 1").groupBy("component", "block").applyInPandas(reduce, "a long, b long, component long").union(dealt.filter("blocks is null").select("a", "b", "component")))
+        live = checkpointed(dealt.filter("blocks > 1").groupBy("component", "block").applyInPandas(reduce, "a long, b long, component long").union(dealt.filter("blocks is null").select("a", "b", "component")))
         held, before, turn = live.count(), held, turn + 1
         if held > 0.9 * before:
             break
@@ -138,7 +158,7 @@ def has_cycle(parents: DataFrame, keys: list[str], node: str, parent: str) -> Da
     steps = 1
     while steps <= most:
         then = walk.select(*keys, F.col("n").alias("p"), F.col("p").alias("to"))
-        walk, steps = _checkpointed(walk.join(then, [*keys, "p"]).select(*keys, "n", F.col("to").alias("p")).distinct()), 2 * steps
+        walk, steps = checkpointed(walk.join(then, [*keys, "p"]).select(*keys, "n", F.col("to").alias("p")).distinct()), 2 * steps
     return walk.select(*keys).distinct()
 
 

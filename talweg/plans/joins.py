@@ -129,7 +129,7 @@ def connected_components(t: Tables) -> DataFrame:
 @query()
 def bridge_edges(t: Tables) -> DataFrame:
     """Every edge, and whether it is a bridge: the whole graph may have none."""
-    edges = relational.opponent_edges(t.lineitem, "l_orderkey", "l_linenumber", "l_suppkey").select(F.col("low").alias("a"), F.col("high").alias("b"))
+    edges = graph.checkpointed(relational.opponent_edges(t.lineitem, "l_orderkey", "l_linenumber", "l_suppkey").select(F.col("low").alias("a"), F.col("high").alias("b")))
     found = graph.bridges(edges).withColumn("bridge", F.lit(True))
     return edges.join(found, ["a", "b"], "left").select("a", "b", F.coalesce("bridge", F.lit(False)).alias("bridge"))
 
