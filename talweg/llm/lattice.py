@@ -16,18 +16,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from talweg.llm.common import mapped, written
-from talweg.llm.words import BASE, Words, filled, mix, signed, slices
+from talweg.llm.words import BASE, Words, filled, mix, offsets, signed, slices
 from talweg.llm.words import parts as cut
 
 #: A piece's leading mark of a word's beginning, as one byte that no word holds.
 SPACE = 0x20
 #: Starting weight of a byte piece, and the strength of the starting weights in pieces.
 BYTE_WEIGHT, PRIOR = 1e-6, 1000.0
+#: Bytes of text after which a block ends; its last text may reach beyond.
+BLOCK_BYTES = 12_000_000
 _CODES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 _TABLE_BITS = 20
 _MASK = np.uint64((1 << _TABLE_BITS) - 1)
@@ -206,7 +209,24 @@ def marginals(vocabulary: Vocabulary, log_p: np.ndarray, parts: list, n: int, pl
     return out
 
 
-COUNTS = "block int, key long, n double, first boolean"
+COUNTS = "block long, key long, n double, first boolean"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` (with text) and each row's block: a partition's rows in their order, cut every ``BLOCK_BYTES``."""
+    at, limit = docs.columns.index("text"), BLOCK_BYTES
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, done = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ends = done + np.cumsum(np.diff(offsets(filled(batch.column(at)))))
+            blocks = first + np.append(done, ends[:-1]) // limit
+            done = int(ends[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(blocks)], names=[*batch.schema.names, "block"])
+
+    return mapped(docs, number, T.StructType([*docs.schema.fields, T.StructField("block", T.LongType())]))
 
 
 def word_counts(docs: DataFrame, vocabulary_path: str) -> DataFrame:
@@ -228,7 +248,7 @@ def word_counts(docs: DataFrame, vocabulary_path: str) -> DataFrame:
 
         def rows(block: int, keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
             size = len(keys)
-            yield from cut(pa.RecordBatch.from_arrays([pa.array(np.full(size, block, np.int32)), pa.array(keys.astype(np.int64)), pa.array(n), pa.array(np.zeros(size, bool))], names=["block", "key", "n", "first"]))
+            yield from cut(pa.RecordBatch.from_arrays([pa.array(np.full(size, block, np.int64)), pa.array(keys.astype(np.int64)), pa.array(n), pa.array(np.zeros(size, bool))], names=["block", "key", "n", "first"]))
 
         def told() -> Iterator[pa.RecordBatch]:
             keys, each = np.unique(np.concatenate([h for h, _ in held]) if held else np.empty(0, np.uint64), return_inverse=True)
@@ -262,25 +282,30 @@ def word_counts(docs: DataFrame, vocabulary_path: str) -> DataFrame:
         some = np.flatnonzero(pieces)
         yield from rows(-1, some, pieces[some])
 
+    def summed(block: np.ndarray, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        word = block >= 0  # a key's piece counts, if any, come before its words
+        first = np.append(True, (key[1:] != key[:-1]) | (word[1:] != word[:-1]))
+        starts = np.flatnonzero(first)
+        sums = np.repeat(np.add.reduceat(n, starts), np.diff(np.append(starts, len(key))))
+        out = word | first
+        return pa.RecordBatch.from_arrays([pa.array(c[out]) for c in (block, key, sums, word & first)], names=["block", "key", "n", "first"])
+
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns[:3]] for b in batches]
-        if not parts:
-            return
-        block, key, n = (np.concatenate(c) for c in zip(*parts, strict=True))
-        del parts
-        for mine in (block >= 0, block < 0):
-            keys, one, each = np.unique(key[mine], return_index=True, return_inverse=True)
-            sums = np.bincount(each, n[mine], len(keys))
-            if block[mine].min(initial=0) < 0:
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), -1, np.int32)), pa.array(keys), pa.array(sums), pa.array(np.zeros(len(keys), bool))], names=["block", "key", "n", "first"])
+        """From rows sorted by key and block; all that is carried on is the last key's rows."""
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            first = np.zeros(int(mine.sum()), bool)
-            first[one] = True
-            for i in range(0, len(first), 200_000):
-                to = i + 200_000
-                yield pa.RecordBatch.from_arrays([pa.array(block[mine][i:to]), pa.array(key[mine][i:to]), pa.array(sums[each[i:to]]), pa.array(first[i:to])], names=["block", "key", "n", "first"])
+            new = [c.to_numpy() for c in batch.columns[:3]]
+            low = int(np.searchsorted(new[1], new[1][-1]))
+            if low or held and held[-1][1][0] != new[1][0]:
+                yield summed(*(np.concatenate(c) for c in zip(*held, [c[:low] for c in new], strict=True)))
+                held = []
+            held.append([c[low:].copy() for c in new])
+        if held:
+            yield summed(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
-    return mapped(mapped(docs, count, COUNTS).repartition("key"), total, COUNTS)
+    return mapped(mapped(docs, count, COUNTS).repartition("key").sortWithinPartitions("key", "block"), total, COUNTS)
 
 
 def score(docs: DataFrame, *, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -295,13 +320,14 @@ def score(docs: DataFrame, *, vocabulary_path: str, id_col: str = "doc_id", text
     repeated rows train and score each; with no training text N = V = 0; an
     empty table gives no rows; other columns are not looked at.
 
-    Blocks are the input's partitions as first read; rows are written with
-    their block's number, so that a later read, or one after a lost executor,
-    finds the same blocks however the input is dealt.
+    Blocks are stretches of about ``BLOCK_BYTES`` of the input's partitions as
+    first read, so that no task holds more, however large a partition; rows are
+    written with their block's number, so that a later read, or one after a lost
+    executor, finds the same blocks however the input is dealt.
     """
     text_id = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (F.crc32(F.encode(text_id, "UTF-8")) % 5 == 1).alias("held_out"))
-    base = written(base.withColumn("block", F.spark_partition_id()))
+    base = written(numbered(base))
     counts = written(word_counts(base.select("text", "held_out", "block"), vocabulary_path))
     words = counts.filter("block >= 0")
     found = words.filter("first").agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()

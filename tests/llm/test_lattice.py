@@ -77,3 +77,28 @@ def test_edge_cases(spark):
     check(spark, [(*r, 0, 0, 0) for r in rows])
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert lattice.score(empty, vocabulary_path=PATH).collect() == []
+
+
+def test_blocks_are_bounded_however_large_a_partition(spark, monkeypatch):
+    tables, real = [], lattice.written
+    monkeypatch.setattr(lattice, "BLOCK_BYTES", 300, raising=False)
+    monkeypatch.setattr(lattice, "written", lambda df: tables.append(real(df)) or tables[-1])
+    rows = [(i, None if i % 9 == 4 else f"the {'word ' * (i % 11)}of w{i % 5} é{i}") for i in range(120)] + [(120, "long " * 200), (121, "end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = sorted((tuple(r) for r in lattice.score(docs, vocabulary_path=PATH).collect()))
+    want = sorted(brute_base(rows))
+    assert [g[:5] for g in got] == [w[:5] for w in want]
+    assert [g[5] for g in got] == pytest.approx([w[5] for w in want])
+    blocks = {}
+    for r in tables[0].collect():
+        blocks.setdefault(r["block"], []).append(len((r["text"] or "").encode()))
+    assert len(blocks) > 5
+    assert all(sum(sizes) - max(sizes) <= 300 for sizes in blocks.values())
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # a word's rows reach over batches
+    try:
+        again = sorted((tuple(r) for r in lattice.score(docs, vocabulary_path=PATH).collect()))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert [g[:5] for g in again] == [g[:5] for g in got]
+    assert [g[5:] for g in again] == [pytest.approx(g[5:]) for g in got]
