@@ -76,13 +76,36 @@ def overlapping_pairs(df: DataFrame, id_col: str, keys: Sequence[str], low: str,
     return left.join(right, list(keys)).filter((F.col("a") < F.col("b")) & meets).select(*keys, "a", "b")
 
 
+#: Rows of one key value that meet all others of it in one piece of work.
+SLICE_ROWS = 2048
+
+
 def either_key_pairs(df: DataFrame, id_col: str, keys: Sequence[str]) -> DataFrame:
-    """(a, b) with a < b that agree in at least one key: an equi-join for each key, united."""
-    pairs = [
-        df.select(F.col(k), F.col(id_col).alias("a")).dropna().join(df.select(F.col(k), F.col(id_col).alias("b")).dropna(), k).filter("a < b").select("a", "b")
-        for k in keys
-    ]
-    return reduce(DataFrame.union, pairs).distinct()
+    """(a, b) with a < b that agree in at least one key: an equi-join for each key, of pairs that no earlier key gives.
+
+    So pairs need no shuffle to be told apart. A value of many rows is dealt in
+    slices of ``SLICE_ROWS``, which meet all of its rows in tasks of their own.
+    Ids of several rows are few as a rule; theirs alone are made distinct.
+    """
+    context = df.sparkSession.sparkContext
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * context.defaultParallelism)
+    names = [f"k{i}" for i in range(len(keys))]
+    rows = df.select(F.col(id_col).alias("id"), *[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]).filter("id is not null").distinct()
+    told = rows.groupBy("id").agg(F.count("*").alias("n"), *[F.first(n).alias(n) for n in names])
+    once = told.filter("n = 1").drop("n")
+    pairs = []
+    for i, k in enumerate(names):
+        held = once.filter(F.col(k).isNotNull())
+        slices = held.groupBy(k).agg(F.ceil(F.count("*") / SLICE_ROWS).cast("int").alias("slices"))
+        held = held.join(slices, k)
+        left = held.select(k, F.pmod(F.xxhash64("id"), F.col("slices")).cast("int").alias("slice"), F.col("id").alias("a"), *[F.col(n).alias(f"a_{n}") for n in names[:i]])
+        right = held.select(k, F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.col("id").alias("b"), *[F.col(n).alias(f"b_{n}") for n in names[:i]])
+        # dealt to a number of tasks that AQE keeps: what is read is small, what comes of it isn't
+        met = left.repartition(tasks, k, "slice").hint("shuffle_hash").join(right.repartition(tasks, k, "slice"), [k, "slice"]).filter("a < b")
+        pairs.append(reduce(lambda m, n: m.filter(~F.coalesce(F.col(f"a_{n}") == F.col(f"b_{n}"), F.lit(False))), names[:i], met).select("a", "b"))
+    several = rows.join(told.filter("n > 1").select("id"), "id", "left_semi")
+    ends = [several.select(k, F.col("id").alias("x")).dropna().join(rows.select(k, F.col("id").alias("y")).dropna(), k).filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")) for k in names]
+    return reduce(DataFrame.union, [*pairs, reduce(DataFrame.union, ends).distinct()])
 
 
 def opponent_edges(df: DataFrame, event: str, side: str, actor: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from talweg.functions import text
-from talweg.operators import aggregates, graph, identity, stats
+from talweg.operators import aggregates, graph, identity, relational, stats
 
 
 def plan(df):
@@ -68,3 +68,17 @@ def test_equal_names_are_compared_once(spark):
     got = identity.similar_pairs(many, "id", "name", ["b"], 100)
     assert got.count() == 3 * 1000 * 999 // 2
     assert "distinct" in plan(got).lower() or plan(got).count("HashAggregate") >= 4
+
+
+def test_pairs_of_either_key_are_told_apart_without_a_shuffle(spark, monkeypatch):
+    rows = [(i, i % 5 if i % 11 else None, float(i % 7) if i % 13 else None) for i in range(200)] + [(3, 9, 1.0), (3, 3, 3.0), (3, 3, 3.0), (4, 2, float("nan")), (5, None, float("nan")), (None, 1, 1.0), (900, 0, -0.0), (901, None, 0.0)]
+    df = spark.createDataFrame(rows, "id long, k1 long, k2 double")
+    pairs = [df.select(F.col(k), F.col("id").alias("a")).dropna().join(df.select(F.col(k), F.col("id").alias("b")).dropna(), k).filter("a < b").select("a", "b") for k in ("k1", "k2")]
+    want = sorted(tuple(r) for r in pairs[0].union(pairs[1]).distinct().collect())
+    assert sorted(tuple(r) for r in relational.either_key_pairs(df, "id", ["k1", "k2"]).collect()) == want
+    monkeypatch.setattr(relational, "SLICE_ROWS", 7, raising=False)
+    got = relational.either_key_pairs(df, "id", ["k1", "k2"])
+    assert sorted(tuple(r) for r in got.collect()) == want
+    many = relational.either_key_pairs(spark.range(6000).select("id", F.lit(1).alias("k1"), (F.col("id") % 3).alias("k2")), "id", ["k1", "k2"])
+    busy = many.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert sum(r["count"] for r in busy) == 6000 * 5999 // 2 and max(r["count"] for r in busy) < 6000 * 5999 // 4
